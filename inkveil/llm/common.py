@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,3 +62,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of stages whose result was cut or stored: it waits for the driver's
+    garbage collection, which may be long in coming."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import bpe, decontam, near_dup, pii, quality_rules, token_counts, url_filter
+from inkveil.llm import bpe, decontam, near_dup, pii, quality_rules, suffix_dedup, token_counts, url_filter
 from inkveil.llm.common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -59,8 +59,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op4_token_counts, op5_quality_rules, op6_pii, op7_url_filter, op8_decontamination, op9_simhash)}
+    return {f.__name__: f for f in (op2_bpe, op4_token_counts, op5_quality_rules, op6_pii, op7_url_filter, op8_decontamination, op9_simhash, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
