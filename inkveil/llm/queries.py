@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import bpe, decontam, near_dup, pii, quality_rules, suffix_dedup, token_counts, url_filter
+from inkveil.llm import bpe, decontam, hmm, near_dup, pii, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 from inkveil.llm.common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS)
@@ -25,6 +29,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_limits(token_counts.length_histogram(table(spark, sf_dir, "documents"), RANKS, PATTERN))
 
@@ -66,7 +74,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op4_token_counts, op5_quality_rules, op6_pii, op7_url_filter, op8_decontamination, op9_simhash, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_lm_score, op4_token_counts, op5_quality_rules, op6_pii, op7_url_filter, op8_decontamination, op9_simhash, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
