@@ -28,12 +28,18 @@ from pyspark.sql import functions as F
 
 from inkveil.llm.common import cut, small_batches, stored
 
-#: Labelled documents to fit on, features, documents that must have a feature, steps of the fit and its penalty.
-SAMPLE, FEATURES, LEAST, STEPS, PENALTY = 20_000, 1 << 18, 4, 60, 1.0
+#: Labelled documents to fit on, features, steps of the fit and its penalty.
+SAMPLE, FEATURES, STEPS, PENALTY = 20_000, 1 << 18, 250, 0.05
+#: Features count whose log likelihood ratio against the label reaches this (chance reaches it once in 500,000).
+SIGNIFICANT = 22.0
 #: Bounds of the estimated pseudo-counts; sites up to which their rates are broadcast (beyond it, joined by shuffle).
 WEAKEST, STRONGEST, BROADCAST_ROWS = 2.0, 10_000.0, 50_000
 
 
+#: Stripped from words at either end.
+OUTER = b".,;:!?\"'()[]{}#*$%&|<>"
+
+
 def feature_set(text: bytes) -> np.ndarray:
     """Hashed distinct words, A-Z lower-cased, less outer punctuation; and looks: shares of symbols, capitals, digits and
     repeated words and lines, in steps."""
@@ -41,7 +47,7 @@ def feature_set(text: bytes) -> np.ndarray:
 
     words = text.lower().split()
     n = max(len(words), 1)
-    distinct = {w.strip(b".,;:!?\"'()") for w in words}
+    distinct = {w.strip(OUTER) for w in words}
     found = {crc32(w) & (FEATURES - 1) for w in distinct}
     raw = np.frombuffer(text, np.uint8)
     kinds = np.bincount(raw, minlength=256)
@@ -73,13 +79,24 @@ class Evidence:
         return float(self.weights[features].sum()) + self.intercept - self.prior
 
 
+def _significant(flat: np.ndarray, label: np.ndarray, n: int, positive: float) -> np.ndarray:
+    """Features whose presence and the label hang together (G test of the two by two table)."""
+    have = np.bincount(flat, minlength=FEATURES).astype(float)
+    both = np.bincount(flat, weights=label, minlength=FEATURES)
+    out = np.zeros(FEATURES)
+    for seen, rows, columns in ((both, have, positive), (have - both, have, n - positive), (positive - both, n - have, positive), (n - have - positive + both, n - have, n - positive)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out += np.where(seen > 0, 2 * seen * np.log(seen * n / (rows * columns)), 0)
+    return out >= SIGNIFICANT
+
+
 def fit_evidence(rows: list[np.ndarray], labels: np.ndarray) -> Evidence:
     """Logistic regression with a penalty, by steps scaled with past gradients."""
     n = len(rows)
     if not n or labels.min() == labels.max():
         return Evidence(np.zeros(FEATURES), 0.0, 0.0)
     flat, sizes = np.concatenate(rows), np.array([len(x) for x in rows])
-    seen = np.bincount(flat, minlength=FEATURES) >= LEAST
+    seen = _significant(flat, np.repeat(labels, sizes), n, float(labels.sum()))
     owner = np.repeat(np.arange(n), sizes)[seen[flat]]
     flat = flat[seen[flat]]
     share = np.clip(labels.mean(), 1e-6, 1 - 1e-6)
@@ -92,7 +109,7 @@ def fit_evidence(rows: list[np.ndarray], labels: np.ndarray) -> Evidence:
         grad = np.bincount(flat, weights=wrong[owner], minlength=FEATURES) + PENALTY * weights
         past += grad**2
         past0 += wrong.sum() ** 2
-        weights -= 0.3 * grad / np.sqrt(past)
+        weights -= 0.5 * grad / np.sqrt(past)
         intercept -= 0.1 * wrong.sum() / np.sqrt(past0)
     return Evidence(weights, float(intercept), prior)
 
