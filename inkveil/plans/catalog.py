@@ -1,6 +1,6 @@
 """All queries, by name."""
 
-from inkveil.plans import queries
+from inkveil.plans import more, queries
 from inkveil.plans.queries import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "queries"]
+__all__ = ["QUERIES", "SQL", "more", "queries"]
