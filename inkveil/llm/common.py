@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,19 +52,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Lets Spark drop the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it again: columnar, compressed, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/inkveil-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes a table into the shared folder and reads it again: columnar, compressed, survives lost executors. The shuffle
+    files behind it go when it is written; they would stay until the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/inkveil-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-
-def free(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of stages whose result was cut or stored: it waits for the driver's
-    garbage collection, which may be long in coming."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

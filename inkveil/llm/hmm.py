@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import free, small_batches, stored
+from inkveil.llm.common import small_batches, stored
 
 STATES, ROUNDS = 6, 4
 #: Classes by word and by ending; words of this count or more have a class by word.
@@ -281,7 +281,6 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout
     found = docs.where(~F.col("held_out")).select("text").mapInArrow(_word_counts, "word binary, n long")
     counts = found.groupBy("word").agg(F.sum("n").alias("c"))
     counts = stored(counts.withColumn("class", class_column(F.col("word"), F.col("c"))), "words")
-    free(spark)
     sums = counts.agg(F.sum("c").alias("total"), F.count("*").alias("distinct"), F.max(F.when(F.col("class") == END, F.col("c"))).alias("ends")).first()
     total, distinct, ends = sums["total"] or 0, sums["distinct"], sums["ends"] or 0
     masses = np.ones(CLASSES)
@@ -290,12 +289,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     asked = dealt.select("block", "text").groupBy("block").applyInArrow(_requests, "block int, rank int, word binary")
     answers = stored(asked.join(counts, "word").select("block", "rank", F.col("c").cast("int").alias("c"), "class"), "answers")
-    free(spark)
     kind = dict(docs.dtypes)["id"]
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"
     encoded = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_encoder(total, distinct, ends, masses), schema)
     encoded = stored(encoded, "sequences")
-    free(spark)
     model = fit(encoded.where(~F.col("held_out")), rounds, states)
     out = encoded.mapInArrow(_scorer(model), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

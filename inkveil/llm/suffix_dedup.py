@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from inkveil.llm.anchors import anchors
 from inkveil.llm.bwt import earlier
-from inkveil.llm.common import cut, free, shuffle_parts, small_batches, stored
+from inkveil.llm.common import shuffle_parts, small_batches, stored
 
 LENGTH = 100
 #: Bytes of segments that are merged at once, shards of such a batch, and segments of an anchor that a batch may hold.
@@ -190,7 +190,6 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     rows = docs.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), "g long, sh long, o long, dk long, s int, e int")
     twice = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     found = stored(rows.join(twice, "g"), "repeats")
-    free(spark)
     firsts = found.groupBy("g", "sh").agg(F.min(F.struct("o", "dk", "s", "e")).alias("f")).select("g", "f.*")
     firsts = stored(firsts, "firsts")
     several = firsts.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
@@ -209,7 +208,6 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
         later = windows.join(least, ["h1", "h2"]).where(F.struct("o", "p") > F.col("m"))
         same = same.unionByName(later.select("dk", F.col("p").alias("s"), F.col("p").alias("e")))
     same = stored(same, "same")
-    free(spark)
     of = lambda t, kind: t.select("dk", F.struct("s", "e", F.lit(kind).alias("kind")).alias("x"))
     marks = of(found, 0).unionByName(of(firsts, 1)).unionByName(of(same, 2)).groupBy("dk").agg(F.collect_list("x").alias("list"))
     whole = df.select(ident.alias("id"), F.xxhash64(ident, text).alias("dk"), text.alias("text")).join(marks, "dk", "left").select("id", "text", F.coalesce("list", F.array().cast("array<struct<s:int,e:int,kind:int>>")).alias("list"))
