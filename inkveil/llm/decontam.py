@@ -57,6 +57,12 @@ def sketches(own: DataFrame, containment: float) -> DataFrame:
     return of.select("_item", F.explode(F.slice("_hs", 1, F.least(k, n))).alias("_h"))
 
 
+def _matching(docs: DataFrame, id_col: str, keys: DataFrame, how: str) -> DataFrame:
+    """The rows whose id is, or isn't, among the keys (_key): sent to the rows while there are few of them."""
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(keys) if small else keys, docs[id_col].eqNullSafe(keys["_key"]), how)
+
+
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 5, containment: float = 0.8) -> DataFrame:
     """(id, item, n_shingles, n_shared, containment): every document that contains an item to that degree or more."""
     if not 0 < containment <= 1:
@@ -71,7 +77,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     found = w.select("_doc", F.explode(F.filter(hashes, lambda h: h <= F.lit(bound["top"] if bound["top"] is not None else 0))).alias("_h"))
     pairs = cut(found.join(probe, "_h").select("_doc", "_item").distinct())
     # verification: the texts of candidates only, their shingles against the items' own
-    texts = w.join(pairs.select("_doc").distinct().withColumnRenamed("_doc", "_cand"), F.col("_doc").eqNullSafe(F.col("_cand")), "left_semi")
+    texts = _shingle_column(_matching(docs, id_col, pairs.select(F.col("_doc").alias("_key")).distinct(), "left_semi"), id_col, text_col, "_doc", size)
     theirs = texts.select("_doc", F.explode(F.array_distinct(_of_words(F.col("_w"), size))).alias("_sh"))
     small = own if bound["n"] > BROADCAST_ROWS else F.broadcast(own)
     shared = theirs.join(small.select("_item", "_sh"), "_sh").distinct().groupBy("_doc", "_item").agg(F.count("*").alias("n_shared"))
@@ -83,8 +89,8 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of the documents that contain no item, with their columns."""
-    bad = cut(contained(docs, items, id_col, **options).select(F.col(id_col).alias("_bad")).distinct())
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    bad = cut(contained(docs, items, id_col, **options).select(F.col(id_col).alias("_key")).distinct())
+    return _matching(docs, id_col, bad, "left_anti")
 
 
 def oracle(containment: float = 0.8) -> str:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from inkveil.llm.common import cut, shuffle_parts, small_batches, stored
 
@@ -239,40 +240,47 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return marked.join(of, "fp").select(F.col("_id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def similar_components(marked: DataFrame, text_col: str, shingle: int, lanes: int, similarity: float) -> DataFrame:
-    """(fp, root) of the fingerprints of a stored table (fp, n, text) that have a link of that similarity."""
+def similar_components(marked: DataFrame, docs: DataFrame, shingle: int, lanes: int, similarity: float) -> DataFrame:
+    """(fp, root) of the fingerprints that have a link of that similarity; marked: (_id, _th, fp, n) of the documents
+    (_id, _th, _text)."""
     cos = 2 * similarity / (1 + similarity)
     share = math.acos(cos) / math.pi
     bits = 64 * lanes
     radius = math.ceil(bits * share + 4.4 * math.sqrt(bits * share * (1 - share)))
     classes = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-math.log(similarity)) + F.lit(1e-9)).cast("int")
     nodes = marked.groupBy("fp").agg(F.min("n").alias("n"))
-    found = cut(links(nodes.select("fp", classes.alias("cell")), lanes, radius, [0, 1]).distinct())
+    found = stored(links(nodes.select("fp", classes.alias("cell")), lanes, radius, [0, 1]).distinct(), "links")
     ends = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct()
-    texts = marked.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
+    # one text of each linked fingerprint
+    chosen = marked.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("_id", "_th")).alias("c")).select("fp", F.col("c._id").alias("_cid"), F.col("c._th").alias("_cth"))
+    texts = docs.join(chosen, (docs["_th"] == chosen["_cth"]) & docs["_id"].eqNullSafe(chosen["_cid"])).groupBy("fp").agg(F.min("_text").alias("_t"))
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def sets(batch: pa.Array) -> pa.Array:
         return pa.array([shingle_hashes(t, shingle, True).view(np.int64) for t in batch.cast(pa.binary()).to_pylist()], type=pa.list_(pa.int64()))
 
-    sets_of = cut(texts.select("fp", sets("_t").alias("_h")))
+    sets_of = stored(texts.select("fp", sets("_t").alias("_h")), "shingles")
     shared = F.size(F.array_intersect("_ha", "_hb"))
     checked = (
         found.join(sets_of.select(F.col("fp").alias("a"), F.col("_h").alias("_ha")), "a")
         .join(sets_of.select(F.col("fp").alias("b"), F.col("_h").alias("_hb")), "b")
         .where(shared >= F.lit(similarity) * (F.size("_ha") + F.size("_hb") - shared))
     )
-    return connected(checked.select("a", "b")).withColumnRenamed("node", "fp")
+    return connected(stored(checked.select("a", "b"), "checked")).withColumnRenamed("node", "fp")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
-    """The rows of a table without the near copies: of each component the row of the smallest id stays (null ids last)."""
+    """The rows of a table without the near copies: of each component the row of the smallest id stays (null ids last). Of
+    rows repeated with id and text, the one of the smallest hash of all columns stays. Only fingerprints are stored."""
     small_batches(df.sparkSession)
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    marked = df.select(row.alias("_row"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{id_col}`").alias("_id"), fingerprint_columns(F.col(f"`{text_col}`"), shingle, lanes, True).alias("_m"))
-    marked = stored(marked.select("_row", "_text", "_id", F.col("_m.fp").alias("fp"), F.col("_m.n").alias("n"), F.monotonically_increasing_id().alias("_at")), "near-dup")
-    roots = similar_components(marked, "_text", shingle, lanes, similarity)
-    first = F.min(F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("y"), F.col("_at").alias("at"))).alias("_f")
-    nodes = marked.groupBy("fp").agg(first)
-    best = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).groupBy("root").agg(F.min("_f").alias("_f")).select(F.col("_f.at").alias("_at"))
-    return marked.join(best, "_at", "left_semi").select("_row.*")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    docs = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
+    marked = docs.select("_id", "_th", fingerprint_columns(F.col("_text"), shingle, lanes, True).alias("_m"))
+    marked = stored(marked.select("_id", "_th", F.col("_m.fp").alias("fp"), F.col("_m.n").alias("n")), "near-dup")
+    roots = similar_components(marked, docs.select("_id", "_th", "_text"), shingle, lanes, similarity)
+    nodes = marked.groupBy("fp").agg(F.min(F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("y"), F.col("_th").alias("th"))).alias("_f"))
+    best = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).groupBy("root").agg(F.min("_f").alias("_f"))
+    best = stored(best.select(F.col("_f.y").alias("_bid"), F.col("_f.th").alias("_bth")), "kept")
+    kept = docs.join(best, (docs["_th"] == best["_bth"]) & docs["_id"].eqNullSafe(best["_bid"]), "left_semi")
+    again = F.row_number().over(W.partitionBy("_th", "_id").orderBy(F.xxhash64("_row")))
+    return kept.select("_row", "_th", "_id").withColumn("_n", again).where("_n = 1").select("_row.*")

@@ -13,8 +13,8 @@ Collision checks: of the values that drew the same surrogate all but the smalles
 surrogate is itself a value of the corpus, until none is left.
 
 Defined results: a null text stays null, with no entities; empty tables give no rows; repeated rows keep a row each and
-get the same surrogates; all columns stay, those that clash with the new ones' names under their own name as the new
-ones' names are parameters; very long texts are searched whole, with bounded repetition in every pattern.
+get the same surrogates; all columns stay, but one named like the
+count is replaced by it; very long texts are searched whole, with bounded repetition in every pattern.
 """
 
 from __future__ import annotations
@@ -186,9 +186,9 @@ def surrogates(values: DataFrame, key: str) -> DataFrame:
 def replace(df: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
     """The table with surrogates in its texts; count_col: the number of entities found."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    found = df.select(row.alias("_row"), F.col(f"`{text_col}`").alias("_text"), F.coalesce(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(ANY), F.lit(0)), F.array().cast("array<string>")).alias("_m"))
-    found = stored(found.withColumn("_at", F.when(F.size("_m") > 0, F.monotonically_increasing_id())), "pii")
-    hits = found.where("_at is not null")
+    found = df.select(row.alias("_row"), F.coalesce(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(ANY), F.lit(0)), F.array().cast("array<string>")).alias("_m"))
+    # only the texts with a match are stored; the others are read again
+    hits = stored(found.where(F.size("_m") > 0).withColumn("_at", F.monotonically_increasing_id()), "pii")
     each = hits.select("_at", F.posexplode("_m").alias("_k", "_v")).withColumn("kind", type_of(F.col("_v")))
     each = each.withColumn("value", canonical(F.col("kind"), F.col("_v")))
     table = surrogates(each.where("kind is not null").groupBy("kind", "value").agg(F.lit(1).alias("_one")).select("kind", "value"), key)
@@ -196,11 +196,12 @@ def replace(df: DataFrame, key: str, text_col: str = "text", count_col: str | No
     other = each.where("kind is null").select("_at", "_k", F.col("_v").alias("_s"), F.lit(0).alias("_e"))
     mapped = each.join(table, ["kind", "value"]).select("_at", "_k", written(F.col("kind"), F.col("_v"), F.col("surrogate"), key).alias("_s"), F.lit(1).alias("_e"))
     lists = mapped.unionByName(other).groupBy("_at").agg(F.sort_array(F.collect_list(F.struct("_k", "_s"))).alias("_l"), F.sum("_e").alias("_n"))
-    gaps = F.split("_text", ANY, -1)
+    raw = F.col(f"_row.`{text_col}`")
+    gaps = F.split(raw, ANY, -1)
     text = F.array_join(F.flatten(F.zip_with(gaps, F.transform("_l", lambda x: x["_s"]), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
-    fields = lambda t: [(t if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in df.columns]
+    fields = lambda t: [(t if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in df.columns if c != count_col]
     count = lambda n: [n.cast("long").alias(count_col)] if count_col else []
-    clean = found.where("_at is null").select(*fields(F.col("_text")), *count(F.lit(0)))
+    clean = found.where(F.size("_m") == 0).select(*fields(raw), *count(F.lit(0)))
     return clean.unionByName(hits.join(lists, "_at").select(*fields(text), *count(F.col("_n"))))
 
 
