@@ -6,7 +6,7 @@ counts of their URLs, never on the rows of a host. Level by level, from the root
 
 * under a node with many children, those with little support become one wildcard child;
 * children whose shares of bad URLs don't differ significantly (neighbours in the order of their shares, two-proportion
-  z below Z) merge into one branch.
+  z below Z) merge into one branch, and so do those without labels, by themselves.
 
 A template is rejected if the smoothed share of bad ones among its labelled URLs, shrunk to its host's share and that to
 the share of all, reaches one half. Explicit rules (host, path) come before: a rule fits its host and all subdomains if
@@ -81,11 +81,11 @@ def templates(rows: DataFrame) -> DataFrame:
         # branches: what became one child counts as one; neighbours by share merge while they don't differ
         branch = child.groupBy("host", "done", "as").agg(F.sum("clab").alias("blab"), F.sum("cbad").alias("bbad"))
         rate = (F.col("bbad") + 0.5) / (F.col("blab") + 1)
-        order = node.orderBy("rate", "as")
+        order = node.orderBy(F.col("blab") == 0, "rate", "as")  # branches without labels last: they don't bridge others
         pooled = (F.col("bbad") + F.col("pbad") + 1) / (F.col("blab") + F.col("plab") + 2)
         z = (F.col("rate") - F.col("prate")) / F.sqrt(pooled * (1 - pooled) * (1 / (F.col("blab") + 1) + 1 / (F.col("plab") + 1)))
         branch = branch.withColumn("rate", rate).withColumn("prate", F.lag("rate").over(order)).withColumn("plab", F.lag("blab").over(order)).withColumn("pbad", F.lag("bbad").over(order))
-        branch = branch.withColumn("apart", F.coalesce((z >= Z).cast("int"), F.lit(0))).withColumn("island", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        branch = branch.withColumn("apart", F.when(F.col("plab").isNull() | ((F.col("blab") == 0) & (F.col("plab") == 0)), 0).when((F.col("blab") == 0) | (z >= Z), 1).otherwise(0)).withColumn("island", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
         group = W.partitionBy("host", "done", "island")
         branch = branch.withColumn("in", F.count("*").over(group)).withColumn("of", F.count("*").over(node))
         named = F.when(F.col("in") == 1, F.col("as")).when(F.col("in") == F.col("of"), F.lit("*")).otherwise(F.concat(F.min("as").over(group), F.lit("~"), F.col("in").cast("string")))
