@@ -44,21 +44,36 @@ _given = "|".join(sorted((n for names in FIRST_NAMES.values() for n in names), k
 _octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _surname = r"\p{Lu}\p{Ll}{1,30}(?!\p{L})"
 #: In the order in which they are tried at a place of the text. The type of a match is told again by TYPES.
-SECRET = r"(?<=(?:token|key|secret|password|passwd|pwd)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_/+.\-]{8,256}(?<![.\-])|(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{40})(?![A-Za-z0-9])"
+SECRET = r"(?<=[=: \"'])(?=[A-Za-z0-9_/+.\-]{8})(?<=(?:token|key|secret|password|passwd|pwd)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_/+.\-]{8,256}(?<![.\-])|(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{40})(?![A-Za-z0-9])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 IP = rf"(?<![0-9.])(?:{_octet}\.){{3}}{_octet}(?![0-9]|\.[0-9])"
 CARD_FORM = r"[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
 CARD = rf"(?<![0-9])(?:{CARD_FORM})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9(])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
-NAME = rf"(?<!\p{{L}})(?:(?:{TITLES})\.? (?:(?:{_given}) )?{_surname}|(?:{_given}) {_surname})"
+NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{TITLES})\.? (?:(?:{_given}) )?{_surname}|(?:{_given}) {_surname})"
 ANY = "|".join(f"(?:{x})" for x in (EMAIL, IP, SECRET, SSN, CARD, PHONE, NAME))
+#: Every text with a match has one of these, or a digit or @, or a name; other texts aren't searched.
+HINTS = ("token", "key", "secret", "password", "passwd", "pwd", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
+
+
+def may_hold(text: Column) -> Column:
+    """A cheap test that every text with a match of ANY passes."""
+    out = text.rlike("[0-9@]")
+    for hint in HINTS:
+        out = out | text.contains(hint)
+    return out | text.rlike("[a-f]{40}") | text.rlike(NAME)
 
 
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def matches_of(text: Column) -> Column:
+    """All matches of ANY in a text; none in a null one."""
+    return F.when(F.coalesce(may_hold(text), F.lit(False)), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
 def type_of(value: Column) -> Column:
     """The type of a match of ANY; null: none after all (a number that fails Luhn)."""
     only = lambda rx: value.rlike(f"^(?:{rx})$")
@@ -186,7 +201,7 @@ def surrogates(values: DataFrame, key: str) -> DataFrame:
 def replace(df: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
     """The table with surrogates in its texts; count_col: the number of entities found."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    found = df.select(row.alias("_row"), F.coalesce(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(ANY), F.lit(0)), F.array().cast("array<string>")).alias("_m"))
+    found = df.select(row.alias("_row"), matches_of(F.col(f"`{text_col}`")).alias("_m"))
     # only the texts with a match are stored; the others are read again
     hits = stored(found.where(F.size("_m") > 0).withColumn("_at", F.monotonically_increasing_id()), "pii")
     each = hits.select("_at", F.posexplode("_m").alias("_k", "_v")).withColumn("kind", type_of(F.col("_v")))
