@@ -1,6 +1,6 @@
 """All queries, by name."""
 
-from inkveil.plans import more, packages, queries
+from inkveil.plans import chunked, more, packages, queries
 from inkveil.plans.queries import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "more", "packages", "queries"]
+__all__ = ["QUERIES", "SQL", "chunked", "more", "packages", "queries"]
