@@ -38,6 +38,8 @@ SYLLABLES = {
     "latin": "ba bel bor dan del fer gar hal kel lan lin lor mar mel mon nor pel ran rel ros sal sen tal ter tor val van ver vin wel win zan".split(),
     "cyrillic": "ба бел бор ва вол гар дан дел кар кол лан лен мар мел мор нов пол ран рос сал сен тал тор фед".split(),
 }
+#: Attempts after which an e-mail's or secret's surrogate gets a character more, and after which there are too few.
+GROW, MOST_ATTEMPTS = 8, 100
 TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Sr|Sra|Mme|Monsieur|Madame"
 
 _given = "|".join(sorted((n for names in FIRST_NAMES.values() for n in names), key=len, reverse=True))
@@ -146,6 +148,8 @@ def _name(value: Column, stream: Column, attempt: Column) -> Column:
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The surrogate, canonical as the value, of an attempt."""
     s = _stream(key, kind, value, attempt)
+    # after some attempts in vain there may be too few of that length: e-mail and secrets then grow
+    longer = F.substring(s, F.lit(1), F.floor(attempt / GROW).cast("int"))
     plain = _alike(value, s, F.lit(False))
     body = F.concat(F.substring(value, 1, 1), F.substring(plain, F.lit(2), F.length(value) - 2))
     private = F.regexp_extract(value, r"^(10\.|192\.168\.|127\.)", 1)
@@ -153,13 +157,13 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     public = F.concat_ws(".", (F.pmod(_number(s, 0), F.lit(200)) + 12).cast("string"), octet(1), octet(2), octet(3))
     within = F.when(private == "192.168.", F.concat(private, octet(1), F.lit("."), octet(2))).otherwise(F.concat(private, octet(1), F.lit("."), octet(2), F.lit("."), octet(3)))
     return (
-        F.when(kind == "email", F.regexp_replace(plain, r"\.[^.]+$", ".example"))
+        F.when(kind == "email", F.concat(longer, F.regexp_replace(plain, r"\.[^.]+$", ".example")))
         .when(kind == "ip", F.when(private != "", within).otherwise(public))
         .when(kind == "card", F.concat(body, _check_digit(body)))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(plain, 2, 8)))
         .when(kind == "phone", F.concat(F.substring(value, 1, 1), (F.pmod(_number(s, 1), F.lit(8)) + 2).cast("string"), F.substring(plain, F.lit(3), F.length(value))))
         .when(kind == "name", _name(value, s, attempt))
-        .otherwise(F.when(value.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(plain, F.lit(5), F.length(value)))).otherwise(_alike(value, s, value.rlike("^[0-9a-f]+$"))))
+        .otherwise(F.when(value.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(plain, F.lit(5), F.length(value)))).otherwise(F.concat(longer, _alike(value, s, value.rlike("^[0-9a-f]+$")))))
     )
 
 
@@ -186,7 +190,7 @@ def written(kind: Column, value: Column, sub: Column, key: str) -> Column:
 def surrogates(values: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) of distinct (kind, value): distinct within a kind, and none a value of the corpus."""
     now = cut(values.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(key, F.col("kind"), F.col("value"), F.col("attempt"))))
-    while True:
+    for _ in range(MOST_ATTEMPTS):
         first = now.groupBy("kind", "surrogate").agg(F.min("value").alias("first"), F.count("*").alias("n"))
         taken = values.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("taken"))
         again = now.join(first.where("n > 1"), ["kind", "surrogate"], "left").join(taken, ["kind", "surrogate"], "left")
@@ -196,6 +200,7 @@ def surrogates(values: DataFrame, key: str) -> DataFrame:
         if not now.where("clash").limit(1).count():
             return now.select("kind", "value", "surrogate")
         now = now.drop("clash")
+    raise RuntimeError("too few surrogates of some type for the values of the corpus")
 
 
 def replace(df: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
