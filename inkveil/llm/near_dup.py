@@ -13,7 +13,10 @@ group of thousands of near copies gives thousands of links and not millions, and
 
 ``similar`` mode (the pipeline's: five words, similarity 0.8) takes distinct shingles, more lanes and a radius that a
 pair of that similarity exceeds with a probability of about 1e-5, then verifies the links by the exact similarity of
-the shingle sets (a link that the forest left out for closer ones is not verified itself). Components come from alternating large and small stars over the links, in the cluster.
+the shingle sets. Where a link of the forest fails and its ends stay apart, the forest may have left out a true link for
+it: the groups around such links are compared again, each pair within the radius whose ends are still apart by its
+shingle sets, so the components are those of all verified links. Components come from alternating large and small stars
+over the links, in the cluster.
 
 Defined results: null and empty texts have the zero fingerprint and are linked like any other; an empty table gives no
 rows; repeated rows and ids keep a row each, in the same component; a component's id is its smallest id, null ids
@@ -35,6 +38,8 @@ from inkveil.llm.common import cut, shuffle_parts, small_batches, stored
 
 #: Fingerprints of a tile, about; rows of it that are compared at once.
 TILE, ROWS = 4096, 256
+#: Of a tile with shingle sets, about: fingerprints, and shingles in all. Bytes and pairs that are verified at once.
+SET_TILE, SET_SHINGLES, SET_BYTES, SET_PAIRS = 1024, 1 << 19, 16 << 20, 1 << 15
 
 
 def shingle_hashes(text: bytes, size: int, distinct: bool = False) -> np.ndarray:
@@ -185,6 +190,79 @@ def links(nodes: DataFrame, lanes: int, radius: int, deltas: list[int], tile: in
     return both.repartition(4 * parts, "cell", "_k", "_k2", "_w").select("_l", "_r").mapInArrow(_pair_links(lanes, radius), "a binary, b binary")
 
 
+def verified_links(fps: np.ndarray, sets: list[np.ndarray], comp: np.ndarray, split: int | None, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within the radius that have the similarity and join two components; fps (n, lanes)
+    of uint64, sets of distinct hashes, comp: the components so far, as numbers below n. split: pairs are of one node
+    before it and one from it on; None: of any two."""
+    n = len(fps)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    # a bit for each hash that two sets share
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    both = times[code] > 1
+    owner, code = np.repeat(np.arange(n), sizes)[both], number[code[both]]
+    bits = np.zeros((n, int(code.max(initial=-1)) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (owner, code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
+    found = []
+    for at in range(0, n if split is None else split, ROWS):
+        rows = fps[at : min(at + ROWS, n if split is None else split)]
+        low = at + 1 if split is None else split
+        d = sum(np.bitwise_count(rows[:, k, None] ^ fps[None, low:, k]).astype(np.int16) for k in range(fps.shape[1]))
+        i, j = np.nonzero(d <= radius)
+        d, i, j = d[i, j], i + at, j + low
+        ok = (i < j) & (comp[i] != comp[j])
+        found.append(np.stack([d[ok], i[ok], j[ok]]))
+    d, i, j = np.concatenate(found, axis=1)
+    order = np.argsort(d, kind="stable")
+    i, j = i[order], j[order]
+    taken = []
+    step = max(1, min(SET_PAIRS, SET_BYTES // (8 * bits.shape[1])))
+    for at in range(0, len(i), step):
+        x, y = i[at : at + step], j[at : at + step]
+        apart = comp[x] != comp[y]
+        x, y = x[apart], y[apart]
+        shared = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+        ok = shared >= similarity * (sizes[x] + sizes[y] - shared)
+        x, y = x[ok], y[ok]
+        for k in _forest(comp[x], comp[y], n):
+            a, b = comp[x[k]], comp[y[k]]
+            comp = np.where(comp == max(a, b), min(a, b), comp)
+            taken.append((int(x[k]), int(y[k])))
+    return taken
+
+
+def _set_links(lanes: int, radius: int, similarity: float):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                sides = [batch.column(c)[k].values for c in ("_l", "_r") if batch.column(c)[k].is_valid]
+                nodes = [x for side in sides for x in side.field("fp").to_pylist()]
+                roots = [x for side in sides for x in side.field("root").to_pylist()]
+                sets = [np.asarray(h.values) for side in sides for h in side.field("h")]
+                numbers: dict[bytes, int] = {}
+                comp = np.array([numbers.setdefault(r, len(numbers)) for r in roots])
+                fps = np.frombuffer(b"".join(nodes), ">u8").astype(np.uint64).reshape(-1, lanes)
+                out += [(nodes[i], nodes[j]) for i, j in verified_links(fps, sets, comp, len(sides[0]) if len(sides) > 1 else None, radius, similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
+
+    return run
+
+
+def set_links(nodes: DataFrame, lanes: int, radius: int, similarity: float) -> DataFrame:
+    """(a, b): a spanning forest, by tile pair, of the verified links that join two roots of a group, of (grp, cell, fp,
+    root, h). Cells of a difference of 1 at most are compared."""
+    sizes = nodes.groupBy("grp", "cell").agg(F.greatest(F.count("*") / SET_TILE, F.sum(F.size("h")) / SET_SHINGLES).alias("_n"))
+    dealt = nodes.join(sizes, ["grp", "cell"]).withColumn("_sub", F.pmod(F.xxhash64("fp"), F.ceil("_n")).cast("int"))
+    tiles = dealt.groupBy("grp", "cell", "_sub").agg(F.collect_list(F.struct("fp", "root", "h")).alias("_t"))
+    left = tiles.select("grp", F.col("_sub").alias("_s"), F.col("_t").alias("_l"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_d"), (F.col("cell") + F.col("_d")).alias("cell"))
+    pairs = left.join(tiles, ["grp", "cell"]).where((F.col("_d") != 0) | (F.col("_s") < F.col("_sub"))).select("grp", "cell", "_d", "_s", "_sub", "_l", F.col("_t").alias("_r"))
+    own = tiles.where(F.size("_t") > 1).select("grp", "cell", F.lit(0).alias("_d"), F.col("_sub").alias("_s"), "_sub", F.col("_t").alias("_l"), F.lit(None).cast(tiles.schema["_t"].dataType).alias("_r"))
+    both = own.unionByName(pairs).repartition(4 * shuffle_parts(nodes.sparkSession), "grp", "cell", "_d", "_s", "_sub")
+    nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    return both.select("_l", "_r").mapInArrow(_set_links(lanes, radius, similarity), "a binary, b binary")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root): for every node of the edges (a, b) the smallest node of its component, by alternating stars."""
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -266,7 +344,18 @@ def similar_components(marked: DataFrame, docs: DataFrame, shingle: int, lanes:
         .join(sets_of.select(F.col("fp").alias("b"), F.col("_h").alias("_hb")), "b")
         .where(shared >= F.lit(similarity) * (F.size("_ha") + F.size("_hb") - shared))
     )
-    return connected(stored(checked.select("a", "b"), "checked")).withColumnRenamed("node", "fp")
+    checked = stored(checked.select("a", "b"), "checked")
+    roots = connected(checked)
+    of = ends.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # links that failed and whose ends no others joined: in the place of each the forest may have left out a true one
+    failed = found.join(of.select(F.col("fp").alias("a"), F.col("root").alias("_ra")), "a").join(of.select(F.col("fp").alias("b"), F.col("root").alias("_rb")), "b")
+    failed = stored(failed.where("_ra != _rb").select(F.col("_ra").alias("a"), F.col("_rb").alias("b")).distinct(), "failed")
+    if not failed.limit(1).count():
+        return roots.withColumnRenamed("node", "fp")
+    groups = connected(failed).withColumnRenamed("root", "grp").withColumnRenamed("node", "root")
+    around = of.join(groups, "root").join(nodes, "fp").join(sets_of, "fp").select("grp", classes.alias("cell"), "fp", "root", F.col("_h").alias("h"))
+    more = stored(set_links(around, lanes, radius, similarity), "set-links")
+    return connected(checked.unionByName(more)).withColumnRenamed("node", "fp")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
