@@ -14,7 +14,8 @@ surrogate is itself a value of the corpus, until none is left.
 
 Defined results: a null text stays null, with no entities; empty tables give no rows; repeated rows keep a row each and
 get the same surrogates; all columns stay, but one named like the
-count is replaced by it; very long texts are searched whole, with bounded repetition in every pattern.
+count is replaced by it; very long texts are searched whole; a secret after a key word runs to the end of its characters, however long, and all
+other repetitions are bounded. A number after a key word that is no card is a secret.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ _given = "|".join(sorted((n for names in FIRST_NAMES.values() for n in names), k
 _octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _surname = r"\p{Lu}\p{Ll}{1,30}(?!\p{L})"
 #: In the order in which they are tried at a place of the text. The type of a match is told again by TYPES.
-SECRET = r"(?<=[=: \"'])(?=[A-Za-z0-9_/+.\-]{8})(?<=(?:token|key|secret|password|passwd|pwd)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_/+.\-]{8,256}(?<![.\-])|(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{40})(?![A-Za-z0-9])"
+SECRET = r"((?<=[=: \"'])(?=[A-Za-z0-9_/+.\-]{8})(?<=(?:token|key|secret|password|passwd|pwd)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_/+.\-]{8,}(?<![.\-]))|(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{40})(?![A-Za-z0-9])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 IP = rf"(?<![0-9.])(?:{_octet}\.){{3}}{_octet}(?![0-9]|\.[0-9])"
 CARD_FORM = r"[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
@@ -54,6 +55,7 @@ CARD = rf"(?<![0-9])(?:{CARD_FORM})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9(])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
 NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{TITLES})\.? (?:(?:{_given}) )?{_surname}|(?:{_given}) {_surname})"
+#: Group 1 is the secret after a key word; no other group captures.
 ANY = "|".join(f"(?:{x})" for x in (EMAIL, IP, SECRET, SSN, CARD, PHONE, NAME))
 #: Every text with a match has one of these, or a digit or @, or a name; other texts aren't searched.
 HINTS = ("token", "key", "secret", "password", "passwd", "pwd", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
@@ -76,8 +78,16 @@ def matches_of(text: Column) -> Column:
     return F.when(F.coalesce(may_hold(text), F.lit(False)), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def with_secrets(text: Column, found: Column) -> Column:
+    """array<struct<v, s>> of the matches found; s: the match again where a key word stands before it, told only in texts
+    with a number that fails Luhn."""
+    fails = F.exists(found, lambda v: v.rlike(f"^(?:{CARD_FORM})$") & ~F.call_function("luhn_check", digits(v)))
+    keyed = F.when(fails, F.regexp_extract_all(text, F.lit(ANY), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    return F.arrays_zip(found, keyed).cast("array<struct<v: string, s: string>>")
+
+
 def type_of(value: Column) -> Column:
-    """The type of a match of ANY; null: none after all (a number that fails Luhn)."""
+    """The type of a match of ANY; null: none after all (a number that fails Luhn), or a secret by its key word."""
     only = lambda rx: value.rlike(f"^(?:{rx})$")
     number = only(CARD_FORM)
     return (
@@ -96,11 +106,11 @@ def canonical(kind: Column, value: Column) -> Column:
     return F.when(kind == "email", F.lower(value)).when(kind.isin("card", "phone", "ssn"), digits(value)).when(kind == "name", F.regexp_extract(value, r"(\S+)$", 1)).otherwise(value)
 
 
-def _stream(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    """Keyed hexadecimal digits, two for each character of the value."""
-    blocks = F.ceil(F.length(value) / F.lit(64)).cast("int")
-    each = F.transform(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1))), lambda b: F.sha2(F.concat_ws("\u0001", F.lit(key), kind, value, attempt.cast("string"), b.cast("string")).cast("binary"), 512))
-    return F.array_join(each, "")
+def _blocks(key: str, kind: Column, value: Column, attempt: Column) -> Column:
+    """array<struct<v, s>>: 64 characters of the value each, and as many keyed bytes in hexadecimal digits."""
+    count = F.ceil(F.length(value) / F.lit(64)).cast("int")
+    keyed = lambda b: F.sha2(F.concat_ws("\u0001", F.lit(key), kind, value, attempt.cast("string"), b.cast("string")).cast("binary"), 512)
+    return F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1))), lambda b: F.struct(F.substring(value, b * 64 + 1, F.lit(64)).alias("v"), keyed(b).alias("s")))
 
 
 def _number(stream: Column, at: Column | int) -> Column:
@@ -113,9 +123,9 @@ def _pick(letters: str, n: Column) -> Column:
     return F.substring(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1))
 
 
-def _alike(value: Column, stream: Column, hexadecimal: Column) -> Column:
+def _alike(blocks: Column, hexadecimal: Column) -> Column:
     """Character by character: a digit for a digit, a letter of the same case and script for a letter."""
-    def one(c: Column, i: Column) -> Column:
+    def one(c: Column, i: Column, stream: Column) -> Column:
         n = _number(stream, i)
         return (
             F.when(c.rlike("[0-9]"), F.when(hexadecimal, _pick("0123456789abcdef", n)).otherwise(_pick("0123456789", n)))
@@ -124,7 +134,7 @@ def _alike(value: Column, stream: Column, hexadecimal: Column) -> Column:
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+    return F.array_join(F.transform(blocks, lambda x: F.array_join(F.transform(F.split(x["v"], ""), lambda c, i: one(c, i, x["s"])), "")), "")
 
 
 def _check_digit(body: Column) -> Column:
@@ -147,10 +157,11 @@ def _name(value: Column, stream: Column, attempt: Column) -> Column:
 
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The surrogate, canonical as the value, of an attempt."""
-    s = _stream(key, kind, value, attempt)
+    blocks = _blocks(key, kind, value, attempt)
+    s = F.array_join(F.transform(blocks, lambda x: x["s"]), "")
     # after some attempts in vain there may be too few of that length: e-mail and secrets then grow
     longer = F.substring(s, F.lit(1), F.floor(attempt / GROW).cast("int"))
-    plain = _alike(value, s, F.lit(False))
+    plain = _alike(blocks, F.lit(False))
     body = F.concat(F.substring(value, 1, 1), F.substring(plain, F.lit(2), F.length(value) - 2))
     private = F.regexp_extract(value, r"^(10\.|192\.168\.|127\.)", 1)
     octet = lambda i: F.pmod(_number(s, i), F.lit(254)).cast("string")
@@ -163,7 +174,7 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(plain, 2, 8)))
         .when(kind == "phone", F.concat(F.substring(value, 1, 1), (F.pmod(_number(s, 1), F.lit(8)) + 2).cast("string"), F.substring(plain, F.lit(3), F.length(value))))
         .when(kind == "name", _name(value, s, attempt))
-        .otherwise(F.when(value.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(plain, F.lit(5), F.length(value)))).otherwise(F.concat(longer, _alike(value, s, value.rlike("^[0-9a-f]+$")))))
+        .otherwise(F.when(value.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(plain, F.lit(5), F.length(value)))).otherwise(F.concat(longer, _alike(blocks, value.rlike("^[0-9a-f]+$")))))
     )
 
 
@@ -209,7 +220,8 @@ def replace(df: DataFrame, key: str, text_col: str = "text", count_col: str | No
     found = df.select(row.alias("_row"), matches_of(F.col(f"`{text_col}`")).alias("_m"))
     # only the texts with a match are stored; the others are read again
     hits = stored(found.where(F.size("_m") > 0).withColumn("_at", F.monotonically_increasing_id()), "pii")
-    each = hits.select("_at", F.posexplode("_m").alias("_k", "_v")).withColumn("kind", type_of(F.col("_v")))
+    each = hits.select("_at", F.posexplode(with_secrets(F.col(f"_row.`{text_col}`"), F.col("_m"))).alias("_k", "_x")).select("_at", "_k", F.col("_x.v").alias("_v"), F.col("_x.s").alias("_s"))
+    each = each.withColumn("kind", F.coalesce(type_of(F.col("_v")), F.when(F.col("_s") != "", F.lit("secret"))))
     each = each.withColumn("value", canonical(F.col("kind"), F.col("_v")))
     table = surrogates(each.where("kind is not null").groupBy("kind", "value").agg(F.lit(1).alias("_one")).select("kind", "value"), key)
     # numbers that are no entities keep their text, so that places and matches stay aligned
