@@ -320,7 +320,7 @@ def row_grouping(spark, sf_dir):
 @query("page_text", f"""select page, string_agg(line, chr(10) order by row) as text from (select page, row, string_agg(text, ' ' order by x0, y0, id) as line from (
     select *, sum(new) over (partition by page order by y0, x0, id rows unbounded preceding) as row from (select *, case when y0 - lag(y0) over (partition by page order by y0, x0, id) <= 8 then 0 else 1 end as new from ({_WORDS} where l_partkey % 500 <> 7))) group by page, row) group by page""")
 def page_text(spark, sf_dir):
-    words = _words(spark, sf_dir).where("x0 <> 7").withColumn("x0", F.col("x0") + F.col("id") / 1000)
+    words = _words(spark, sf_dir).withColumn("x0", F.col("x0") + F.col("id") / 1000)
     return geometry.page_text(words, ["page"])
 
 

@@ -31,3 +31,20 @@ def test_html_table_has_every_sheet(spark, sf, lines):
     html = lambda rows: "".join("<tr>" + "".join(f"<td>{x}</td>" for x in v) + "</tr>" for v in rows)
     want = sorted((sheet, f"<table>{html(rows)}</table>") for sheet, rows in grids(lines))
     assert sorted(map(tuple, QUERIES["html_table"](spark, sf).collect())) == want
+
+
+def test_page_text_has_every_word(spark, sf, lines):
+    assert any(part % 500 == 7 for _, _, part, _ in lines)
+    pages = defaultdict(list)
+    for page, word, part, supp in lines:
+        pages[page].append((supp % 7 * 12, part % 500 + word / 1000, word))
+    want = []
+    for page, words in pages.items():
+        rows, before = [], None
+        for y, x, word in sorted(words):
+            if before is None or y - before > 8:
+                rows.append([])
+            rows[-1].append((x, y, word))
+            before = y
+        want.append((page, "\n".join(" ".join(f"w{word}" for _, _, word in sorted(row)) for row in rows)))
+    assert sorted(map(tuple, QUERIES["page_text"](spark, sf).collect())) == sorted(want)
