@@ -157,8 +157,6 @@ def judge(df: DataFrame, text_col: str = "text", columns: list[str] | None = Non
 
 
 def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows that the rules keep, with their columns as they were. The votes are counted in a pass of their own, which
-    stores nothing; the texts are read once more to apply the model."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    marked = features(df.select(row.alias("_row"), F.col(f"`{text_col}`").alias("_text")), "_text")
-    return apply(marked, fit(marked)).where("kept").select("_row.*")
+    """The rows that the rules keep, with their columns as they were. Rows and features are stored once and the verdicts
+    read from there: a filter on the feature expressions themselves would be copied into each of their lambdas."""
+    return judge(df, text_col).where("kept").select("_row.*")
