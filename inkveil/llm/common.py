@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,10 +41,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine does in a
+    session that runs on this machine alone; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = "/tmp/inkveil-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "inkveil-checkpoints")
     return folder.rstrip("/")
 
 
@@ -54,13 +61,47 @@ def cut(df: DataFrame) -> DataFrame:
 
 #: Lets Spark drop the shuffle files of a query as soon as it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables that ``stored`` wrote, innermost scope last; those of no scope go when this process ends.
+_scopes: list[list[tuple]] = [[]]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def _remove(tables: list[tuple]) -> None:
+    """Deletes tables; the file system tells of folders that are gone already by False."""
+    while tables:
+        path, conf = tables.pop()
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _remove_last() -> None:
+    from py4j.protocol import Py4JError
+
+    try:
+        _remove(_scopes[0])
+    except (Py4JError, OSError):  # Spark's JVM has ended before this process
+        _scopes[0].clear()
+
+
+atexit.register(_remove_last)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables that ``stored`` writes inside are deleted at its end: for work whose result is written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _remove(_scopes.pop())
+
+
+def stored(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Writes a table into the shared folder and reads it again: columnar, compressed, survives lost executors. The shuffle
-    files behind it go when it is written; they would stay until the driver happens to collect its garbage."""
+    files behind it go when it is written; they would stay until the driver happens to collect its garbage. The table itself
+    goes with the scope it was written in (``scratch``), outer: with the one around it, or with this process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkveil-{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    _scopes[-2 if outer and len(_scopes) > 1 else -1].append((jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()))
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -73,3 +114,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+
+def joined_split(rows: DataFrame, counts: DataFrame, key: str, by: list[str], least: int, most_hot: int = 10_000) -> DataFrame:
+    """The rows whose key is in counts (key, n, ...), with its columns; the rows of a hot key are dealt, by the hash of some of
+    their columns, over tasks of about least rows. No more than most_hot keys are hot: their list is broadcast."""
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    bound = max(least, total // most_hot)
+    hot = counts.where(F.col("n") > bound).select(key, F.ceil(F.col("n") / bound).cast("int").alias("_c"))
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_c")).cast("int"), F.lit(0))).drop("_c")
+    dealt = counts.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_c"), F.lit(1)) - 1))).drop("_c")
+    return salted.join(dealt, [key, "_salt"]).drop("_salt")
