@@ -11,13 +11,19 @@ the same document further left. Strings are judged on the input and never cross
 3. Only anchors with two or more different segments are left to compare. Their segments are dealt out by anchor, and in
    each task, batch by batch, the transforms of shards of them are merged by interleave refinement (see ``bwt``); the
    intervals of suffixes that agree to LENGTH bytes are the repeated windows, of which the earliest stays.
-   Anchors with more than GROUP different segments don't fit a batch; their windows are compared by 128-bit hashes in
-   a grouped aggregation instead, with the same result.
-4. Each document's removed windows are cut out of its bytes.
+4. The segments of an anchor with more than GROUP different ones are anchored again by longer grams, up to the whole window,
+   and go through 2 and 3 by these: equal windows share every gram, so none is lost, and windows that share a long gram are
+   few, or equal.
+5. Each document's removed windows are cut out of its bytes.
+
+Hot anchors (of a passage that a third of all documents share) are split over tasks where occurrences are joined with their
+counts; everything else about them is counted or reduced before it is shuffled. Segments fold by their anchor's and their
+own 64-bit hash together; unlike segments with equal ones are left to chance.
 
 Defined results: a null text is empty; texts under LENGTH bytes keep all; an empty table gives no rows; rows repeated
 with id and text are one document (each row gets its result); rows of one id and different texts are compared by place
-only, so of two equal windows at the same place both stay; null ids come last. Extra columns are not read.
+only, so of two equal windows at the same place both stay; null ids come last; ids are integers, others raise an error; very
+long texts are taken whole; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.anchors import anchors
+from inkveil.llm.anchors import GRAM, anchors
 from inkveil.llm.bwt import earlier
-from inkveil.llm.common import shuffle_parts, small_batches, stored
+from inkveil.llm.common import joined_split, shuffle_parts, small_batches, stored
 
 LENGTH = 100
 #: Bytes of segments that are merged at once, shards of such a batch, and segments of an anchor that a batch may hold.
 BATCH, SHARDS, GROUP = 2 << 20, 4, 32768
+#: Occurrences of an anchor for a task, at least; anchors of too many segments up to which their list is broadcast.
+HOT, HOT_LIST = 20_000, 10_000
 _LAST = (1 << 63) - 1
 
 
@@ -134,26 +142,32 @@ def _merged(length: int, batch_bytes: int, shards: int):
     return run
 
 
-def _window_rows(length: int):
-    """(h1, h2, o, dk, p): every window of segments, by two hashes of its bytes."""
+def _again_rows(length: int, gram: int):
+    """(g, sh, o, dk, s, e): the segments that are asked for, of (o, dk, text, list), anchored by longer grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_intdigest
+        from xxhash import xxh64_intdigest
 
         for batch in batches:
-            for g, o, dk, s, seg in zip(*(batch.column(c).to_pylist() for c in ("g", "o", "dk", "s", "seg")), strict=True):
-                n = len(seg) - length + 1
-                h = [xxh3_128_intdigest(seg[i : i + length]) for i in range(n)]
-                high = np.array([x >> 64 for x in h], np.uint64).view(np.int64)
-                low = np.array([x & 0xFFFFFFFFFFFFFFFF for x in h], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), pa.array(np.full(n, o)), pa.array(np.full(n, dk)), pa.array(np.arange(s, s + n, dtype=np.int32))], ["h1", "h2", "o", "dk", "p"])
+            texts, offsets = _documents(batch)
+            for k, wanted in enumerate(batch.column("list").to_pylist()):
+                raw = texts[offsets[k] : offsets[k + 1]]
+                o, dk = batch.column("o")[k], batch.column("dk")[k]
+                for x in wanted:
+                    own = raw[x["s"] : x["e"] + length]
+                    g, first, last = anchors(own, np.arange(x["e"] - x["s"] + 1), length, gram)
+                    with np.errstate(over="ignore"):
+                        g = (g ^ np.uint64(x["g"] & ((1 << 64) - 1))) * np.uint64(0x9E3779B97F4A7C15)
+                    view = memoryview(own)
+                    sh = np.array([xxh64_intdigest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(sh.view(np.int64)), pa.array([o.as_py()] * len(g), pa.int64()), pa.array([dk.as_py()] * len(g), pa.int64()), pa.array((first + x["s"]).astype(np.int32)), pa.array((last + x["s"]).astype(np.int32))], ["g", "sh", "o", "dk", "s", "e"])
 
     return run
 
 
 def _cut_out(length: int):
-    """(spans, kept) of (text, list): kind 0 runs of repeated segments, kind 1 those of them that come first, kind 2
-    windows of these that start earlier elsewhere."""
+    """(spans, kept) of (text, list): by level, of an even kind the runs of segments, of the odd one after it those that come
+    first; of kind -1 windows of these that start earlier elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,8 +181,8 @@ def _cut_out(length: int):
                     kept.append(own.tobytes())
                     continue
                 change = np.zeros(len(own) + 1, np.int64)
-                first = {x["s"] for x in found if x["kind"] == 1}
-                for s, e in {(x["s"], x["e"]) for x in found if x["kind"] == 2 or x["kind"] == 0 and x["s"] not in first}:
+                first = {(x["s"], x["e"], x["kind"] - 1) for x in found if x["kind"] > 0 and x["kind"] % 2}
+                for s, e in {(x["s"], x["e"]) for x in found if x["kind"] < 0 or x["kind"] % 2 == 0 and (x["s"], x["e"], x["kind"]) not in first}:
                     change[s] += 1
                     change[e + length] -= 1
                 gone = np.cumsum(change[:-1]) > 0
@@ -186,31 +200,40 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     spark = df.sparkSession
     small_batches(spark)
     ident, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    kind = dict(df.select(ident.alias("id")).dtypes)["id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError(f"{id_col}: ids are integers, not {kind}")
     docs = df.select(F.coalesce(ident, F.lit(_LAST)).cast("long").alias("o"), F.xxhash64(ident, text).alias("dk"), text.alias("text"))
     rows = docs.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), "g long, sh long, o long, dk long, s int, e int")
-    twice = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    found = stored(rows.join(twice, "g"), "repeats")
-    firsts = found.groupBy("g", "sh").agg(F.min(F.struct("o", "dk", "s", "e")).alias("f")).select("g", "f.*")
-    firsts = stored(firsts, "firsts")
-    several = firsts.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = firsts.join(several, "g").select("dk", F.struct("g", "s", "e", "n").alias("x"))
-    lists = wanted.groupBy("dk").agg(F.collect_list("x").alias("list"))
-    # one row for each distinct document: repeated rows share dk
-    texts = docs.join(lists, "dk").dropDuplicates(["dk"])
-    segments = texts.select("o", "dk", "text", F.filter("list", lambda x: x["n"] <= group).alias("list")).mapInArrow(_segment_rows(length), "g long, o long, dk long, s int, seg binary")
-    same = segments.repartition(shuffle_parts(spark), "g").sortWithinPartitions("g").mapInArrow(_merged(length, batch, shards), "dk long, s int, e int")
-    hot = several.agg(F.max("n").alias("n")).first()["n"]
-    if hot is not None and hot > group:
-        large = texts.select("o", "dk", "text", F.filter("list", lambda x: x["n"] > group).alias("list")).where(F.size("list") > 0)
-        windows = large.mapInArrow(_segment_rows(length), "g long, o long, dk long, s int, seg binary").mapInArrow(_window_rows(length), "h1 long, h2 long, o long, dk long, p int")
-        windows = stored(windows, "windows")
-        least = windows.groupBy("h1", "h2").agg(F.min(F.struct("o", "p")).alias("m"), F.count("*").alias("n")).where("n > 1")
-        later = windows.join(least, ["h1", "h2"]).where(F.struct("o", "p") > F.col("m"))
-        same = same.unionByName(later.select("dk", F.col("p").alias("s"), F.col("p").alias("e")))
-    same = stored(same, "same")
-    of = lambda t, kind: t.select("dk", F.struct("s", "e", F.lit(kind).alias("kind")).alias("x"))
-    marks = of(found, 0).unionByName(of(firsts, 1)).unionByName(of(same, 2)).groupBy("dk").agg(F.collect_list("x").alias("list"))
+    twice = stored(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    found = stored(joined_split(rows, twice, "g", ["dk", "s"], HOT).drop("n"), "repeats")
+
+    def texts_of(segments: DataFrame) -> DataFrame:
+        """(o, dk, text, list) of the documents of segments (g, dk, s, e), one row each: repeated rows share dk."""
+        lists = segments.groupBy("dk").agg(F.collect_list(F.struct("g", "s", "e")).alias("list"))
+        return docs.join(lists, "dk").dropDuplicates(["dk"]).select("o", "dk", "text", "list")
+
+    of = lambda t, level: t.select("dk", F.struct("s", "e", F.lit(level).alias("kind")).alias("x"))
+    grams = [GRAM, (GRAM + length) // 2, length]
+    marks = None
+    for level, longer in enumerate([*grams[1:], None]):
+        firsts = stored(found.groupBy("g", "sh").agg(F.min(F.struct("o", "dk", "s", "e")).alias("f")).select("g", "f.*"), "firsts")
+        several = stored(firsts.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "several")
+        hot = several.where(F.col("n") > group).select("g")
+        more = longer is not None and hot.limit(1).count() > 0
+        few = several.where(F.col("n") <= group) if more else several
+        if more and hot.limit(HOT_LIST + 1).count() <= HOT_LIST:
+            hot = F.broadcast(hot)
+        wanted = (firsts.join(hot, "g", "left_anti") if more else firsts).join(few.select("g"), "g")
+        segments = texts_of(wanted).mapInArrow(_segment_rows(length), "g long, o long, dk long, s int, seg binary")
+        same = segments.repartition(shuffle_parts(spark), "g").sortWithinPartitions("g").mapInArrow(_merged(length, batch, shards), "dk long, s int, e int")
+        here = of(found, 2 * level).unionByName(of(firsts, 2 * level + 1)).unionByName(of(stored(same, "same"), -1))
+        marks = here if marks is None else marks.unionByName(here)
+        if not more:
+            break
+        again = texts_of(firsts.join(hot, "g")).mapInArrow(_again_rows(length, longer), "g long, sh long, o long, dk long, s int, e int")
+        found = stored(again, "again")
+    marks = marks.groupBy("dk").agg(F.collect_list("x").alias("list"))
     whole = df.select(ident.alias("id"), F.xxhash64(ident, text).alias("dk"), text.alias("text")).join(marks, "dk", "left").select("id", "text", F.coalesce("list", F.array().cast("array<struct<s:int,e:int,kind:int>>")).alias("list"))
-    kind = dict(df.select(ident.alias("id")).dtypes)["id"]
     out = whole.mapInArrow(_cut_out(length), f"id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
