@@ -9,10 +9,12 @@ nothing. Documents are probed shingle by shingle as a stream, whole and without
 doesn't matter; shingles whose hash exceeds the largest sketch value can't match and go first. Candidate pairs are then
 verified by exact shingle containment, on the shingles' text.
 
-Shingles: five words, A-Z lower-cased, joined by spaces; a shorter text is one shingle, a text without words has none.
+Shingles: five words, A-Z lower-cased, joined by spaces. An item of fewer words is one shingle, and documents are probed by
+all their word sequences of the lengths that such items have, too (four more at most), so it is found anywhere in them.
 Defined results: null and blank texts contain nothing and items without words are in nothing; empty tables give no
 pairs; repeated rows of a document's id count as one document (any of its texts contains the shingle); repeated item
-rows of one id likewise; null ids group as an id of their own. Extra columns are not read, or kept by ``clean``.
+rows of one id likewise; null ids group as an id of their own; very long texts are probed whole; a containment equal to the
+bound counts as reached. Extra columns, whatever their names, are not read, or kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from inkveil.llm.common import cut, words
 
 #: Sketch rows up to which the index is broadcast (8-byte hashes; beyond it, the probe shuffles the shingles that pass).
 BROADCAST_ROWS = 500_000
+#: Rows and bytes of the items' shingles up to which these are broadcast.
+SHINGLE_ROWS, SHINGLE_BYTES = 500_000, 32 << 20
 
 
 def _shingle_column(df: DataFrame, id_col: str, text_col: str, name: str, size: int) -> DataFrame:
@@ -32,20 +36,27 @@ def _shingle_column(df: DataFrame, id_col: str, text_col: str, name: str, size:
 
 
 def _of_words(w: Column, size: int) -> Column:
-    return F.when(F.size(w) > size, F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.array_join(F.slice(w, i, size), " "))).when(F.size(w) > 0, F.array(F.array_join(w, " ")))
+    """The shingles of exactly that many words; none of a shorter text."""
+    return F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.array_join(F.slice(w, i, size), " "))).otherwise(F.array().cast("array<string>"))
 
 
 def _hashes_of_words(w: Column, size: int) -> Column:
     """Hash of each shingle: its words hashed in turn, without making the shingle's text."""
     each = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)])
-    return F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), each)).when(F.size(w) > 0, F.array(F.xxhash64(*[F.get(w, F.lit(k)) for k in range(size)])))
+    return F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), each)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _of_all(make, w: Column, sizes: list[int]) -> Column:
+    return F.concat(*[make(w, k) for k in sizes])
 
 
 def item_shingles(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(_item, _sh, _h): the distinct shingles of each item."""
+    """(_item, _sh, _h, _k): the distinct shingles of each item, of size words, or of all of a shorter one's _k words."""
     w = _shingle_column(items, id_col, text_col, "_item", size)
-    both = w.select("_item", F.explode(F.arrays_zip(_of_words(F.col("_w"), size).alias("s"), _hashes_of_words(F.col("_w"), size).alias("h"))).alias("_x"))
-    return both.select("_item", F.col("_x.s").alias("_sh"), F.col("_x.h").alias("_h")).distinct()
+    k = F.least(F.size("_w"), F.lit(size))
+    of = lambda make: F.coalesce(*[F.when(k == n, make(F.col("_w"), n)) for n in range(1, size + 1)])
+    both = w.where(k > 0).select("_item", k.alias("_k"), F.explode(F.arrays_zip(of(_of_words).alias("s"), of(_hashes_of_words).alias("h"))).alias("_x"))
+    return both.select("_item", F.col("_x.s").alias("_sh"), F.col("_x.h").alias("_h"), "_k").distinct()
 
 
 def sketches(own: DataFrame, containment: float) -> DataFrame:
@@ -70,16 +81,18 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     own = cut(item_shingles(items, item_col, item_text_col, size))
     index = cut(sketches(own, containment).distinct())
     bound = index.agg(F.count("*").alias("n"), F.max("_h").alias("top")).first()
+    extent = own.agg(F.count("*").alias("n"), F.sum(F.octet_length("_sh")).alias("bytes"), F.collect_set("_k").alias("sizes")).first()
+    sizes = sorted({size, *extent["sizes"]})
     probe = index if bound["n"] > BROADCAST_ROWS else F.broadcast(index)
     # a long text may fill an item's sketch by chance only: what counts is which of its shingles are the item's
     w = _shingle_column(docs, id_col, text_col, "_doc", size)
-    hashes = _hashes_of_words(F.col("_w"), size)
+    hashes = _of_all(_hashes_of_words, F.col("_w"), sizes)
     found = w.select("_doc", F.explode(F.filter(hashes, lambda h: h <= F.lit(bound["top"] if bound["top"] is not None else 0))).alias("_h"))
     pairs = cut(found.join(probe, "_h").select("_doc", "_item").distinct())
     # verification: the texts of candidates only, their shingles against the items' own
     texts = _shingle_column(_matching(docs, id_col, pairs.select(F.col("_doc").alias("_key")).distinct(), "left_semi"), id_col, text_col, "_doc", size)
-    theirs = texts.select("_doc", F.explode(F.array_distinct(_of_words(F.col("_w"), size))).alias("_sh"))
-    small = own if bound["n"] > BROADCAST_ROWS else F.broadcast(own)
+    theirs = texts.select("_doc", F.explode(F.array_distinct(_of_all(_of_words, F.col("_w"), sizes))).alias("_sh"))
+    small = F.broadcast(own) if extent["n"] <= SHINGLE_ROWS and (extent["bytes"] or 0) <= SHINGLE_BYTES else own
     shared = theirs.join(small.select("_item", "_sh"), "_sh").distinct().groupBy("_doc", "_item").agg(F.count("*").alias("n_shared"))
     sizes = own.groupBy("_item").agg(F.count("*").alias("n_shingles"))
     both = shared.alias("s").join(pairs.alias("p"), F.col("s._doc").eqNullSafe(F.col("p._doc")) & F.col("s._item").eqNullSafe(F.col("p._item"))).select("s._doc", "s._item", "n_shared")
@@ -97,12 +110,12 @@ def oracle(containment: float = 0.8) -> str:
     """The pairs in DuckDB's SQL, by shingle sets."""
     word = r"[^\x20\x09-\x0D]+"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    sh = lambda t, i: f"""select {i}, unnest(case when len(w) > 5 then [array_to_string(w[k:k+4], ' ') for k in range(1, len(w) - 3)]
-        when len(w) > 0 then [array_to_string(w, ' ')] else []::varchar[] end) as sh from (select {i}, regexp_extract_all({lower}, '{word}') as w from {t})"""
+    split = lambda t, i: f"select {i}, regexp_extract_all({lower}, '{word}') as w from {t}"
+    grams = lambda w, k: f"list_transform(range(1, len({w}) - {k} + 2), j -> array_to_string({w}[j:j + {k} - 1], ' '))"
     return f"""
-    with items as (select distinct * from ({sh('benchmark', 'item_id')})),
+    with items as (select distinct item_id, k, unnest({grams('w', 'k')}) as sh from (select item_id, w, least(len(w), 5) as k from ({split('benchmark', 'item_id')})) where k > 0),
     sizes as (select item_id, count(*) as n_shingles from items group by item_id),
-    docs as (select distinct * from ({sh('documents', 'doc_id')}) where sh in (select sh from items)),
+    docs as (select distinct * from (select doc_id, unnest({grams('w', 'k')}) as sh from ({split('documents', 'doc_id')}), (select distinct k from items)) where sh in (select sh from items)),
     shared as (select doc_id, item_id, count(*) as n_shared from docs join items using (sh) group by doc_id, item_id)
     select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles as containment
     from shared join sizes using (item_id) where n_shared >= {containment} * n_shingles - 1e-9"""
