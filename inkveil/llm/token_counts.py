@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from inkveil.llm.bpe import encode
+from inkveil.llm.common import stored
 
 #: Lengths of a block.
 BLOCK = 4096
@@ -30,6 +31,7 @@ def length_histogram(df: DataFrame, ranks_path: str, pattern: str, text_col: str
 def context_limits(histogram: DataFrame) -> DataFrame:
     """For every length that occurs, taken as a limit: documents and tokens up to it and beyond it, the tokens that a
     cut at the limit keeps and loses, and the share of documents that fit whole."""
+    histogram = stored(histogram, "lengths")  # read twice below: the texts are encoded once
     rows = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("_t"), F.floor(F.col("n_tokens") / BLOCK).alias("_b"))
     later = W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)  # over blocks of lengths: one row each
     blocks = rows.groupBy("_b").agg(F.sum("n_docs").alias("_bd"), F.sum("_t").alias("_bt"))
