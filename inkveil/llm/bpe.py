@@ -8,11 +8,12 @@ A chunk starts in the middle of a text, so its first pre-tokens may be wrong; a
 its start on, so once both chunks have a boundary in common, the later one is right from there. Cuts are made only
 behind a character that is not white space (a run of white space is matched by what follows it) and away from the
 end of the earlier chunk. Where an overlap has no such point the cut is left out, along with the later ones of that
-text, and the piece simply is longer: results never depend on the sizes of chunks.
+text, and the piece simply is longer: results never depend on the sizes of chunks. Texts are sliced once, so the work grows with their length.
 
 Defined results: a null text encodes as the empty text (no ids); an empty table gives an empty table; repeated rows
-and repeated ids keep a row each (long texts are matched to their ids by content); all columns of the input stay, and
-the names of new columns are parameters; internal columns carry the prefix ``_bpe_`` and are dropped.
+and repeated ids keep a row each (long texts are matched to their ids by content); the input's
+columns stay, but those named like the new ones, which are parameters, are replaced; columns with the prefix ``_bpe_`` are
+not allowed in the input. Ties don't occur: of two common boundaries the first is cut at.
 """
 
 from __future__ import annotations
@@ -142,11 +143,19 @@ def _long_ids(texts: DataFrame, ranks_path: str, pattern: str, chunk: int, overl
     """(_bpe_key, _bpe_ids) of distinct long texts (_bpe_key, _bpe_text)."""
     spark = texts.sparkSession
     step = chunk - overlap
-    n = F.length("_bpe_text")
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def sliced(whole: pa.Array) -> pa.Array:
+        return pa.array([[t[a : a + chunk] for a in range(0, max(len(t) - overlap, 1), step)] for t in whole.to_pylist()], type=pa.list_(pa.string()))
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def split_at(whole: pa.Array, at: pa.Array) -> pa.Array:
+        return pa.array([[t[a:b] for a, b in zip(c, [*c[1:], len(t)], strict=True)] for t, c in zip(whole.to_pylist(), at.to_pylist(), strict=True)], type=pa.list_(pa.string()))
+
     chunks = (
-        texts.withColumn("_bpe_n", n)
-        .withColumn("_bpe_i", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.col("_bpe_n") - overlap) / F.lit(step)).cast("int") - 1))))
-        .select("_bpe_key", "_bpe_i", (F.col("_bpe_i") * step).alias("_bpe_start"), F.substring("_bpe_text", F.col("_bpe_i") * step + 1, F.lit(chunk)).alias("_bpe_chunk"), ((F.col("_bpe_i") + 1) * step + overlap >= F.col("_bpe_n")).alias("_bpe_last"))
+        texts.select("_bpe_key", sliced("_bpe_text").alias("_bpe_all"))
+        .select("_bpe_key", F.size("_bpe_all").alias("_bpe_n"), F.posexplode("_bpe_all").alias("_bpe_i", "_bpe_chunk"))
+        .select("_bpe_key", "_bpe_i", (F.col("_bpe_i") * step).alias("_bpe_start"), "_bpe_chunk", (F.col("_bpe_i") == F.col("_bpe_n") - 1).alias("_bpe_last"))
         .repartition(shuffle_parts(spark), "_bpe_key", "_bpe_i")
     )
     marks = chunks.select("_bpe_key", "_bpe_start", F.length("_bpe_chunk").alias("_bpe_len"), _boundary_udf(pattern, MARGIN)("_bpe_chunk", "_bpe_last", F.lit(overlap)).alias("_bpe_bounds"))
@@ -158,8 +167,8 @@ def _long_ids(texts: DataFrame, ranks_path: str, pattern: str, chunk: int, overl
     cuts = marks.groupBy("_bpe_key").agg(F.sort_array(F.collect_list(F.struct("_bpe_start", "_bpe_len", "_bpe_bounds"))).alias("_bpe_found")).select("_bpe_key", stitch("_bpe_found").alias("_bpe_cuts"))
     pieces = (
         texts.join(cuts, "_bpe_key")
-        .select("_bpe_key", "_bpe_text", "_bpe_cuts", F.posexplode("_bpe_cuts").alias("_bpe_p", "_bpe_from"))
-        .select("_bpe_key", "_bpe_p", F.expr("substring(_bpe_text, _bpe_from + 1, coalesce(get(_bpe_cuts, _bpe_p + 1), length(_bpe_text)) - _bpe_from)").alias("_bpe_piece"))
+        .select("_bpe_key", split_at("_bpe_text", "_bpe_cuts").alias("_bpe_all"))
+        .select("_bpe_key", F.posexplode("_bpe_all").alias("_bpe_p", "_bpe_piece"))
         .repartition(shuffle_parts(spark), "_bpe_key", "_bpe_p")
         .select("_bpe_key", "_bpe_p", _encode_udf(ranks_path, pattern)("_bpe_piece").alias("_bpe_ids"))
     )
