@@ -7,8 +7,10 @@ fingerprints are then dealt into tiles, and tile pairs are compared exactly, wit
 A tile pair is skipped if the population counts of its fingerprints differ beyond the radius: with one lane tiles are
 the combinations of the population counts of the four 16-bit words, and two of them are compared only if these counts
 differ by no more than the radius in all (flipping a bit changes one of them by one, so no link is lost). In
-``similar`` mode tiles are classes of shingle counts: sets whose sizes differ beyond the similarity can't reach it.
-Large tiles are split evenly. Of each tile pair only a spanning forest of its links is returned, closest first, so a
+``similar`` mode a fingerprint is dealt into BANDS blocks, by the smallest of the hashes of its shingles under as many
+permutations: sets of that similarity share a block with a chance of 1 - 0.2 ** 8, and sets without a common shingle none, so
+the work doesn't grow with the square of the corpus. A block of one tile is compared within itself; a larger one is tiled by
+classes of shingle counts: sets whose sizes differ beyond the similarity can't reach it. Large tiles are split evenly. Of each tile pair only a spanning forest of its links is returned, closest first, so a
 group of thousands of near copies gives thousands of links and not millions, and no connection is lost.
 
 ``similar`` mode (the pipeline's: five words, similarity 0.8) takes distinct shingles, more lanes and a radius that a
@@ -18,6 +20,7 @@ it: the groups around such links are compared again, each pair within the radius
 shingle sets, so the components are those of all verified links. Components come from alternating large and small stars
 over the links, in the cluster.
 
+Very long texts are taken whole; of ties between ids or links of equal distance the smaller id or hash counts.
 Defined results: null and empty texts have the zero fingerprint and are linked like any other; an empty table gives no
 rows; repeated rows and ids keep a row each, in the same component; a component's id is its smallest id, null ids
 aside; columns of the input other than the id and the text are not read in ``components`` and all kept in ``keep_one``.
@@ -29,17 +32,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from inkveil.llm.common import cut, shuffle_parts, small_batches, stored
+from inkveil.llm.common import cut, joined_split, shuffle_parts, small_batches, stored
 
 #: Fingerprints of a tile, about; rows of it that are compared at once.
 TILE, ROWS = 4096, 256
 #: Of a tile with shingle sets, about: fingerprints, and shingles in all. Bytes and pairs that are verified at once.
 SET_TILE, SET_SHINGLES, SET_BYTES, SET_PAIRS = 1024, 1 << 19, 16 << 20, 1 << 15
+#: Blocks of a fingerprint in similar mode; tiles of so few fingerprints are compared without numpy.
+BANDS, FEW = 8, 6
 
 
 def shingle_hashes(text: bytes, size: int, distinct: bool = False) -> np.ndarray:
@@ -96,6 +102,36 @@ def fingerprint_columns(text: Column, shingle: int = 3, lanes: int = 1, distinct
     return marks(F.coalesce(text, F.lit("")))
 
 
+def min_hashes(h: np.ndarray, bands: int = BANDS) -> list[int]:
+    """The smallest hash under each of some permutations, signed; none of an empty set."""
+    return [int(_mixed(h, 101 + k).min().view(np.int64)) for k in range(bands)] if len(h) else []
+
+
+def fingerprint_and_blocks(text: Column, shingle: int, lanes: int) -> Column:
+    """struct<fp, n, m>: of the distinct shingles the fingerprint, the number and the smallest hashes."""
+
+    @F.arrow_udf(T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("m", T.ArrayType(T.LongType()))]))
+    def marks(texts: pa.Array) -> pa.Array:
+        found = [shingle_hashes(t or b"", shingle, True) for t in texts.cast(pa.binary()).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([fingerprint(h, lanes) for h in found], pa.binary()), pa.array([len(h) for h in found], pa.int32()), pa.array([min_hashes(h) for h in found], pa.list_(pa.int64()))], ["fp", "n", "m"])
+
+    return marks(F.coalesce(text, F.lit("")))
+
+
+def _few_links(fps: list[bytes], radius: int) -> list[tuple[int, int]]:
+    """As ``tile_links`` of a tile with itself, for few fingerprints."""
+    numbers = [int.from_bytes(x) for x in fps]
+    near = sorted((d, i, j) for i, a in enumerate(numbers) for j in range(i) if (d := (a ^ numbers[j]).bit_count()) <= radius)
+    root = list(range(len(fps)))
+    out = []
+    for _, i, j in near:
+        if root[i] != root[j]:
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = [new if r == old else r for r in root]
+            out.append((j, i))
+    return out
+
+
 def _forest(a: np.ndarray, b: np.ndarray, nodes: int) -> list[int]:
     """Indices of the pairs, in their order, that join two components that were apart."""
     root = np.arange(nodes)
@@ -163,6 +199,13 @@ def _pair_links(lanes: int, radius: int):
     def run(batches):
         for batch in batches:
             out_a, out_b = [], []
+            if batch.num_rows and batch.column("_r").null_count == batch.num_rows and pc.max(pc.list_value_length(batch.column("_l"))).as_py() <= FEW:
+                for fps in batch.column("_l").to_pylist():
+                    for i, j in _few_links(fps, radius):
+                        out_a.append(fps[i])
+                        out_b.append(fps[j])
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
+                continue
             tiles = [[np.frombuffer(b"".join(x), ">u8").astype(np.uint64).reshape(-1, lanes) if x is not None else None for x in batch.column(c).to_pylist()] for c in ("_l", "_r")]
             raw = batch.column("_l").to_pylist(), batch.column("_r").to_pylist()
             for k, (left, right) in enumerate(zip(*tiles, strict=True)):
@@ -190,6 +233,22 @@ def links(nodes: DataFrame, lanes: int, radius: int, deltas: list[int], tile: in
     return both.repartition(4 * parts, "cell", "_k", "_k2", "_w").select("_l", "_r").mapInArrow(_pair_links(lanes, radius), "a binary, b binary")
 
 
+def block_links(nodes: DataFrame, lanes: int, radius: int, tile: int = TILE) -> DataFrame:
+    """(a, b): a spanning forest, by tile pair, of the links between the fingerprints of (fp, cls, m) that share a block."""
+    each = nodes.select("fp", "cls", F.posexplode("m").alias("_k", "_m")).select("fp", "cls", F.xxhash64("_k", "_m").alias("block"))
+    counts = stored(each.groupBy("block").agg(F.count("*").alias("n")).where("n > 1"), "blocks")
+    dealt = stored(joined_split(each, counts, "block", ["fp"], 20_000), "dealt")
+    small = dealt.where(F.col("n") <= tile).groupBy("block").agg(F.collect_list("fp").alias("_l"))
+    small = small.select("_l", F.lit(None).cast("array<binary>").alias("_r"), (F.size("_l") > FEW).alias("_many"))
+    # tiles of few fingerprints come first in each task, so that batches hold nothing else
+    few = small.sortWithinPartitions("_many").select("_l", "_r").mapInArrow(_pair_links(lanes, radius), "a binary, b binary")
+    large = dealt.where(F.col("n") > tile)
+    if not large.limit(1).count():
+        return few
+    cell = F.col("block").bitwiseAND(F.lit(~127)) + F.col("cls")
+    return few.unionByName(links(large.select("fp", cell.alias("cell")).distinct(), lanes, radius, [0, 1], tile))
+
+
 def verified_links(fps: np.ndarray, sets: list[np.ndarray], comp: np.ndarray, split: int | None, radius: int, similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs within the radius that have the similarity and join two components; fps (n, lanes)
     of uint64, sets of distinct hashes, comp: the components so far, as numbers below n. split: pairs are of one node
@@ -319,15 +378,15 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def similar_components(marked: DataFrame, docs: DataFrame, shingle: int, lanes: int, similarity: float) -> DataFrame:
-    """(fp, root) of the fingerprints that have a link of that similarity; marked: (_id, _th, fp, n) of the documents
+    """(fp, root) of the fingerprints that have a link of that similarity; marked: (_id, _th, fp, n, m) of the documents
     (_id, _th, _text)."""
     cos = 2 * similarity / (1 + similarity)
     share = math.acos(cos) / math.pi
     bits = 64 * lanes
     radius = math.ceil(bits * share + 4.4 * math.sqrt(bits * share * (1 - share)))
     classes = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-math.log(similarity)) + F.lit(1e-9)).cast("int")
-    nodes = marked.groupBy("fp").agg(F.min("n").alias("n"))
-    found = stored(links(nodes.select("fp", classes.alias("cell")), lanes, radius, [0, 1]).distinct(), "links")
+    nodes = marked.groupBy("fp").agg(F.min(F.struct("n", "m")).alias("x")).select("fp", "x.n", "x.m")
+    found = stored(block_links(nodes.select("fp", classes.alias("cls"), "m"), lanes, radius).distinct(), "links")
     ends = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct()
     # one text of each linked fingerprint
     chosen = marked.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("_id", "_th")).alias("c")).select("fp", F.col("c._id").alias("_cid"), F.col("c._th").alias("_cth"))
@@ -353,7 +412,7 @@ def similar_components(marked: DataFrame, docs: DataFrame, shingle: int, lanes:
     if not failed.limit(1).count():
         return roots.withColumnRenamed("node", "fp")
     groups = connected(failed).withColumnRenamed("root", "grp").withColumnRenamed("node", "root")
-    around = of.join(groups, "root").join(nodes, "fp").join(sets_of, "fp").select("grp", classes.alias("cell"), "fp", "root", F.col("_h").alias("h"))
+    around = of.join(groups, "root").join(nodes.drop("m"), "fp").join(sets_of, "fp").select("grp", classes.alias("cell"), "fp", "root", F.col("_h").alias("h"))
     more = stored(set_links(around, lanes, radius, similarity), "set-links")
     return connected(checked.unionByName(more)).withColumnRenamed("node", "fp")
 
@@ -364,8 +423,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     small_batches(df.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
-    marked = docs.select("_id", "_th", fingerprint_columns(F.col("_text"), shingle, lanes, True).alias("_m"))
-    marked = stored(marked.select("_id", "_th", F.col("_m.fp").alias("fp"), F.col("_m.n").alias("n")), "near-dup")
+    marked = docs.select("_id", "_th", fingerprint_and_blocks(F.col("_text"), shingle, lanes).alias("_m"))
+    marked = stored(marked.select("_id", "_th", "_m.fp", "_m.n", "_m.m"), "near-dup")
     roots = similar_components(marked, docs.select("_id", "_th", "_text"), shingle, lanes, similarity)
     nodes = marked.groupBy("fp").agg(F.min(F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("y"), F.col("_th").alias("th"))).alias("_f"))
     best = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).groupBy("root").agg(F.min("_f").alias("_f"))
