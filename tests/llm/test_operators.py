@@ -91,6 +91,18 @@ def test_quality_features(docs, rows, none):
     assert quality_rules.keep(docs).columns == docs.columns
 
 
+def test_quality_keep_is_judge(spark, docs, sf):
+    """keep returns the rows, as often as they occur, that judge keeps, with all their columns."""
+    from collections import Counter
+
+    whole = docs.unionByName(spark.read.parquet(f"{sf}/documents.parquet").where("doc_id >= 60").selectExpr("*", "'a' as _text", "'b' as fp", "'c' as ids", "1L as n"))
+    judged = quality_rules.judge(whole, columns=whole.columns).collect()
+    expected = Counter(tuple(r["_row"]) for r in judged if r.kept)
+    assert 0 < expected.total() < whole.count()
+    kept = quality_rules.keep(whole)
+    assert kept.columns == whole.columns and Counter(tuple(r) for r in kept.collect()) == expected
+
+
 def test_quality_posteriors_match_python(docs):
     marked = quality_rules.features(docs.select("doc_id", "text"))
     model = quality_rules.fit(marked)
@@ -130,6 +142,63 @@ def test_pii(spark, docs, rows, none):
     assert pii.replace(docs, PII_KEY, count_col=None).columns == docs.columns
 
 
+def test_pii_names(spark):
+    """All parts of a name go, and those that stand alone in the same text; other words stay."""
+    texts = {
+        1: "Dr Tariq Aziz came. Aziz left.",
+        2: "Mr. Chen Wei and Mr. Chen met.",
+        3: "Ms Lena Berg came. Lena left. BERG stayed, Berg's house.",
+        4: "Mme de la Cruz spoke",
+        5: "Herr Jürgen O'Neil und Frau Anne-Marie von der Berg",
+        6: "Prof. Dr. J. R. Tolkien wrote; Tolkien too",
+        7: "Госпожа Ирина Волкова и Волкова",
+        8: "The Berg is high and Lena flows.",
+    }
+    out = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "key").collect()}
+    gone = {1: "Tariq Aziz", 2: "Chen Wei", 3: "Lena Berg", 4: "Cruz", 5: "Jürgen O'Neil Anne Marie Berg", 6: "Tolkien", 7: "Ирина Волкова"}
+    for k, parts in gone.items():
+        for part in parts.split():
+            assert part not in out[k], (part, out[k])
+    assert out[8] == texts[8]
+    m = re.fullmatch(r"Dr (\w+) (\w+) came\. (\w+) left\.", out[1])
+    assert m and m[2] == m[3] != m[1]
+    m = re.fullmatch(r"Mr\. (\w+o) (\w+) and Mr\. (\w+) met\.", out[2])
+    assert m
+    m = re.fullmatch(r"Ms (\w+) (\w+) came\. (\w+) left\. BERG stayed, (\w+)'s house\.", out[3])
+    assert m and m[1] == m[3] and m[2] == m[4] and m[1] in pii.FIRST_NAMES["f", "latin"]
+    assert re.fullmatch(r"Mme de la \p{Lu}\p{Ll}+ spoke".replace(r"\p{Lu}\p{Ll}", "[A-Z][a-z]"), out[4])
+    m = re.fullmatch(r"Herr (\w+o) ([A-Z]\w+'[A-Z]\w+) und Frau (\w+-\w+a) von der (\w+)", out[5])
+    assert m and m[4] == re.search(r"Ms \w+ (\w+) came", out[3])[1]
+    m = re.fullmatch(r"Prof\. Dr\. J\. R\. (\w+) wrote; (\w+) too", out[6])
+    assert m and m[1] == m[2]
+    m = re.fullmatch(r"Госпожа (\w+) (\w+) и (\w+)", out[7])
+    assert m and m[1] in pii.FIRST_NAMES["f", "cyrillic"] and m[2] == m[3]
+
+
+def test_pii_numbers(spark):
+    """Addresses and numbers keep their form and their checks; what fails its check stays."""
+    text = "at 2001:db8:85a3::8a2e:370:7334 or fe80::1:2; IBAN DE89 3704 0044 0532 0130 00, GB82WEST12345698765432; no IBAN DE88 3704 0044 0532 0130 00; 900101-1234568 and 9001011234568 or 010-1234-5678, 02-123-4567, 12:30:45 a::b 1234567890123"
+    got = pii.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), "key").first()
+    for gone in ("85a3", "fe80::1:2", "DE89 3704", "WEST1234", "900101-1234568", "1234-5678", "123-4567,"):
+        assert gone not in got.text, (gone, got.text)
+    for stays in ("DE88 3704 0044 0532 0130 00", "12:30:45 a::b 1234567890123"):
+        assert stays in got.text
+    m = re.match(r"at ([0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}) or (fe80::\w:\w); IBAN (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d), (GB\d\d[A-Z]{4}\d{14}); .* 00; (\d{6}-1\d{6}) and (\d{13}) or (010-\d{4}-\d{4}), (02-\d{3}-\d{4}), ", got.text)
+    assert m, got.text
+    for account in (m[3].replace(" ", ""), m[4]):
+        assert int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+    d = [int(c) for c in m[5].replace("-", "")]
+    assert (11 - sum(x * w for x, w in zip(d, (2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5), strict=False)) % 11) % 10 == d[12]
+    # the spelling without a hyphen is the same number where its checksum holds, else it is none
+    assert got.n_entities in (7, 8)
+
+
+def test_pii_values_of_all_kinds_differ(spark):
+    values = [("name", "belmar"), ("given_f", "belmar"), ("email", "a@x.de"), ("secret", "a@x.de"), ("card", "4111111111111111"), ("phone", "4111111111111111")] + [("name", f"n{i}") for i in range(3000)]
+    out = pii.surrogates(spark.createDataFrame(values, "kind string, value string"), "k").collect()
+    assert len({r.surrogate for r in out}) == len(out) == len(values) and not {r.surrogate for r in out} & {v for _, v in values}
+
+
 def test_pii_distinct(spark):
     """Many short values share few surrogates at first; in the end all differ, and none is another's original."""
     values = [f"{a}{b}@x.de" for a in "abcdefghij" for b in "abcdefghij"]
@@ -160,6 +229,88 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0), labels, URL_RULES).collect() == []
 
 
+def brute_branches(children):
+    """Names of the branches of one node, by the rules as they are stated; children: name to (urls, labelled, bad)."""
+    wide = len(children) > url_filter.WIDE
+    own = {}
+    for name, (n, lab, bad) in children.items():
+        to = own.setdefault("*" if wide and n < url_filter.WEAK else name, [0, 0, []])
+        to[0], to[1] = to[0] + lab, to[1] + bad
+        to[2].append(name)
+
+    def differ(lab, bad, plab, pbad):
+        pooled = (bad + pbad + 1) / (lab + plab + 2)
+        z = abs((bad + 0.5) / (lab + 1) - (pbad + 0.5) / (plab + 1)) / (pooled * (1 - pooled) * (1 / (lab + 1) + 1 / (plab + 1))) ** 0.5
+        return z >= url_filter.Z or (2 * bad >= lab) != (2 * pbad >= plab)
+
+    groups = [[n for n, (lab, _, _) in own.items() if lab < url_filter.LABELLED]]
+    by_counts = {}
+    for name, (lab, bad, _) in own.items():
+        if lab >= url_filter.LABELLED:
+            by_counts.setdefault(((bad + 0.5) / (lab + 1), lab, bad), []).append(name)
+    now = None
+    for (_, lab, bad), names in sorted(by_counts.items()):
+        if now is None or differ(lab, bad, *now[:2]) or differ(lab, bad, *now[2:]):
+            now = [0, 0, lab, bad]
+            groups.append([])
+        now[0], now[1] = now[0] + lab * len(names), now[1] + bad * len(names)
+        groups[-1] += names
+    out = {}
+    for group in filter(None, groups):
+        called = group[0] if len(group) == 1 else "*" if len(group) == len(own) else f"{min(group)}~{len(group)}"
+        out |= {child: called for name in group for child in own[name][2]}
+    return out
+
+
+def test_url_tree_matches_brute_force(spark):
+    """Random hosts with up to 60 sections each, of random sizes, labels and shares, some with digits in their names."""
+    import random
+
+    rng = random.Random(5)
+    rows, hosts = [], {}
+    for h in range(12):
+        children = {}
+        for c in range(rng.choice([3, 12, 40, 60])):
+            n, share = rng.choice([1, 3, 9, 40, 90]), rng.random() ** 2
+            labelled = [rng.random() < share for _ in range(rng.randint(0, n))]
+            children[f"sec{chr(97 + c // 26)}{chr(97 + c % 26)}"] = (n, len(labelled), sum(labelled))
+            rows += [(f"h{h}", [f"sec{chr(97 + c // 26)}{chr(97 + c % 26)}"], labelled[i] if i < len(labelled) else None) for i in range(n)]
+        hosts[f"h{h}"] = children
+    out = url_filter.templates(spark.createDataFrame(rows, "host string, t0 array<string>, bad boolean")).collect()
+    got = {h: {r.t0[0]: r.template[1:] for r in out if r.host == h} for h in hosts}
+    assert got == {h: brute_branches(children) for h, children in hosts.items()}
+    assert sum(len(set(g.values())) for g in got.values()) > 20
+
+
+def test_url_unlike_branches_stay_apart(spark):
+    """Eleven sections of 40 pages whose shares of bad pages rise in steps: no chain from the best to the worst."""
+    shares = [2, 10, 20, 30, 40, 50, 60, 70, 80, 90, 98]
+    pages, labels = [], []
+    for s, share in enumerate(shares):
+        for i in range(40):
+            key = s * 1000 + i
+            pages.append((key, f"http://h.test/s{chr(97 + s)}/{key}"))
+            labels.append((key, i < round(40 * share / 100)))
+    pages += [(99000, None), (99001, "http://h.test/" + "deep/" * 30 + "x1"), (99002, "http://h.test/" + "a" * 200_000), (99003, "http://h.test/sa/")]
+    df = spark.createDataFrame([(i, u, "a", "b", "c") for i, u in pages], "page_id long, url string, host string, path string, t0 string")
+    out = {r.page_id: r for r in url_filter.judge(df, spark.createDataFrame(labels, "key long, bad boolean"), []).collect()}
+    assert len(out) == len(pages)
+    verdicts = [{out[s * 1000 + i].verdict for i in range(40)} for s in range(11)]
+    assert verdicts == [{"allow"}] * 5 + [{"block"}] * 6
+    templates = {out[s * 1000].template for s in range(11)}
+    assert 3 < len(templates) < 11
+
+
+def test_url_labels_beyond_the_depth(spark):
+    """Paths that differ in the tenth segment only have templates of their own."""
+    pages, labels = [], []
+    for i in range(80):
+        pages.append((i, "http://h.test/" + "a/" * 9 + ("good/" if i % 2 else "bad/") + str(i)))
+        labels.append((i, i % 2 == 0))
+    out = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "key long, bad boolean"), []).collect()
+    assert all(r.verdict == ("allow" if r.page_id % 2 else "block") for r in out)
+
+
 def test_url_templates_reject_bad_branches(spark):
     rows = [(i, f"http://h.net/{'spam' if i % 2 else 'good'}/{i}") for i in range(400)] + [(1000 + i, f"http://h.net/many/slug-{chr(97 + i % 26)}{chr(97 + i // 26)}/x") for i in range(60)]
     labels = [(i, i % 2 == 1) for i in range(200) if i % 4 != 3]
@@ -173,21 +324,21 @@ def test_url_templates_reject_bad_branches(spark):
 
 
 def test_decontamination(spark, docs, rows, none):
-    items = [(1, "the quick brown fox jumps over the lazy dog and then runs"), (2, "two words"), (3, None), (4, "  "), (5, "nowhere to be found in any of these texts at all"), (1, "the quick brown fox jumps over the lazy dog and then runs"), (None, "a b c d e f")]
+    items = [(1, "the quick brown fox jumps over the lazy dog and then runs"), (2, "two words"), (3, None), (4, "  "), (5, "nowhere to be found in any of these texts at all"), (1, "the quick brown fox jumps over the lazy dog and then runs"), (None, "a b c d e f"), (6, "Lazy dog and"), (7, "lazy fox")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.n_shared) for r in decontam.contained(docs, bench).collect()}
 
-    def shingles(text):
+    def shingles(text, k):
         w = words(text)
-        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
 
     own, theirs = {}, {}
     for i, t in items:
-        own.setdefault(i, set()).update(shingles(t))
+        own.setdefault(i, set()).update(shingles(t, min(len(words(t)), 5)))
     for r in rows:
-        theirs.setdefault(r.doc_id, set()).update(shingles(r.text))
+        theirs.setdefault(r.doc_id, set()).update(*[shingles(r.text, k) for k in (2, 3, 5)])
     want = {(d, i, len(a & b)) for d, a in theirs.items() for i, b in own.items() if b and len(a & b) >= 0.8 * len(b)}
-    assert got == want and len(want) >= 3
+    assert got == want and len(want) >= 3 and {i for _, i, _ in want} >= {1, 2, 6} and 7 not in {i for _, i, _ in want}
     kept = decontam.clean(docs, bench)
     assert kept.columns == docs.columns
     same([r.doc_id for r in kept.collect()], [r.doc_id for r in rows if r.doc_id not in {d for d, _, _ in want}])
