@@ -1,5 +1,11 @@
 """A training-data pipeline over documents: each stage takes what its predecessor kept and returns the same columns, but
-for the last, which returns the ids of tokens. Between stages the table is written as Parquet and read again."""
+for the last, which returns the ids of tokens. Between stages the table is written as Parquet and read again.
+
+Defined results: null, empty and short texts fail the quality rules and go in the first stage, so do rows without an id only
+if their text does; rows repeated with id and text are near copies of each other, of which one stays; of a tie between near
+copies the smallest id stays; very long texts pass every stage whole; an empty table gives no rows; further columns of
+documents, whatever their names, pass all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import bpe, decontam, near_dup, pii, quality_rules
-from inkveil.llm.common import stored, table
+from inkveil.llm.common import scratch, stored, table
 from inkveil.llm.queries import PATTERN, PII_KEY, RANKS
 
 
@@ -54,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch():  # what a stage stored on its way goes when its result is written
+            docs = stored(stage(spark, docs, sf_dir), name, outer=True)
     return STAGES[-1][1](spark, docs, sf_dir)
