@@ -36,12 +36,17 @@ def except_hyphen_at(value: Column) -> Column:
     return F.regexp_replace(value, "[^@-]", "*")
 
 
+def _n_digits(value: Column) -> Column:
+    return F.length(value) - F.length(F.translate(value, "0123456789", ""))
+
+
 def _by_digit(value: Column, masked) -> Column:
     """Masks the digits for which masked(rank from 1, place from 0, number of digits) holds."""
-    total = F.length(F.regexp_replace(value, "[^0-9]", ""))
-    rank = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[^0-9]", ""))
-    one = lambda c, i: F.when(c.rlike("^[0-9]$") & masked(rank(i), i, total), F.lit("*")).otherwise(c)
-    return F.when(value == "", value).otherwise(F.array_join(F.transform(F.split(value, ""), one), ""))
+    rank = lambda i: _n_digits(F.substring(value, F.lit(1), i + 1))
+    one = lambda total: lambda c, i: F.when(c.between("0", "9") & masked(rank(i), i, total), F.lit("*")).otherwise(c)
+    # a lambda's variable is computed once, the expression behind it would be for each character
+    whole = F.get(F.transform(F.array(_n_digits(value)), lambda total: F.array_join(F.transform(F.split(value, ""), one(total)), "")), F.lit(0))
+    return F.when(value == "", value).otherwise(whole)
 
 
 def first_digits(value: Column, n: int = 6) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +34,11 @@ def line_ends(s: Column) -> Column:
     return F.replace(F.replace(s, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
+def line_ends_of(text: str) -> str:
+    """The same of a Python text."""
+    return text.replace("\r\n", "\n").replace("\r", "\n")
+
+
 def trim_white(s: Column) -> Column:
     return F.regexp_replace(s, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
 
@@ -54,32 +62,73 @@ def normalize(s: Column, compose: bool = True) -> Column:
     return F.regexp_replace(t, r"(?m)[ ]+$", "")
 
 
-@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
+INDEXED = T.StructType([T.StructField("text", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))])
+
+
+class Indexed:
+    """A text whose characters know their place in the raw one, while parts of it are taken out."""
+
+    def __init__(self, parts: list[tuple[int, str]]) -> None:
+        self.text = "".join(t for _, t in parts)
+        self.at = np.repeat(np.array([i for i, _ in parts], np.int32), [len(t) for _, t in parts])
+
+    def without(self, pattern: str) -> Indexed:
+        gone = np.zeros(len(self.text), bool)
+        for m in re.finditer(pattern, self.text):
+            gone[m.start() : m.end()] = True
+        if gone.any():
+            out = Indexed([])
+            out.text = "".join(c for c, g in zip(self.text, gone.tolist(), strict=True) if not g)
+            out.at = self.at[~gone]
+            return out
+        return self
+
+    def translated(self, table: dict[int, str]) -> Indexed:
+        """Characters become others, one for one."""
+        out = Indexed([])
+        out.text, out.at = self.text.translate(table), self.at
+        return out
+
+
+_CONTROL = str.maketrans(SPACES + "\t\f\v" + DASHES, " " * (len(SPACES) + 3) + "-" * len(DASHES), DROPPED)
+
+
+def _indexed_rows(rows: list[Indexed]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array([x.text for x in rows], pa.string()), pa.array([x.at for x in rows], pa.list_(pa.int32()))], ["text", "at"])
+
+
+def _normal_indexed(raw: str) -> Indexed:
+    units = [(m.start(), m.group()) for m in re.finditer("\r\n|[\\s\\S]", raw)]
+    made = [(i, "\n" if u[0] == "\r" else unicodedata.normalize("NFKC", u).translate(_CONTROL)) for i, u in units]
+    # of blanks at the end of a line none stays, of others in a row the first
+    return Indexed(made).without(r" +(?=\n|\Z)").without(r"(?<= ) +")
+
+
+@F.arrow_udf(INDEXED)
 def normalize_indexed(texts: pa.Array) -> pa.Array:
-    """The normalised text, and for each of its characters the place in the raw one (NFKC by character)."""
-    out = []
-    for raw in texts.to_pylist():
-        kept: list[str] = []
-        at: list[int] = []
-        for i, c in enumerate(raw or ""):
-            if c == "\r":
-                if (raw or "")[i + 1 : i + 2] == "\n":
-                    continue
-                c = "\n"
-            for x in unicodedata.normalize("NFKC", c):
-                if x in DROPPED:
-                    continue
-                x = " " if x in SPACES or x in "\t\f\v" else "-" if x in DASHES else x
-                if x == " " and kept and kept[-1] == " ":
-                    continue
-                if x == "\n":
-                    while kept and kept[-1] == " ":
-                        kept.pop()
-                        at.pop()
-                kept.append(x)
-                at.append(i)
-        out.append({"text": "".join(kept), "at": at})
-    return pa.array(out, pa.struct([("text", pa.string()), ("at", pa.list_(pa.int32()))]))
+    """The normalised text, and for each of its characters the place in the raw one (NFKC by character). A line end of two
+    characters has the place of its first."""
+    return _indexed_rows([_normal_indexed(t or "") for t in texts.to_pylist()])
+
+
+def raw_runs(at: Column, start: Column, end: Column) -> Column:
+    """array<struct<start, end, norm_start, norm_end>>: a span of the normalised text as runs of neighbours in the raw one.
+    A raw character that became several ends a run, as what was left out between two does."""
+    places = F.sequence(start, F.greatest(start, F.least(end, F.size(at))) - 1)
+    begins = F.filter(places, lambda p: (p == start) | (F.get(at, p) != F.get(at, p - 1) + 1))
+    ends = F.filter(places, lambda p: (p == F.element_at(places, -1)) | (F.get(at, p + 1) != F.get(at, p) + 1))
+    pair = lambda b, e: F.struct(F.get(at, b).alias("start"), (F.get(at, e) + 1).alias("end"), b.alias("norm_start"), (e + 1).alias("norm_end"))
+    none = F.array().cast("array<struct<start:int,end:int,norm_start:int,norm_end:int>>")
+    return F.when((start >= 0) & (F.least(end, F.size(at)) > start), F.zip_with(begins, ends, pair)).otherwise(none)
+
+
+def nearest_raw(at: Column, place: Column) -> Column:
+    """The raw place of a normalised one; where it has none (null, or beyond the ends) that of the nearest to the left that has
+    one, else to the right; null if none has."""
+    cut = F.greatest(F.lit(0), F.least(place + 1, F.size(at)))
+    left = F.filter(F.slice(at, F.lit(1), cut), lambda x: x.isNotNull())
+    right = F.filter(F.slice(at, cut + 1, F.size(at)), lambda x: x.isNotNull())
+    return F.coalesce(F.try_element_at(left, F.lit(-1)), F.get(right, F.lit(0)))
 
 
 def ocr_normalize(s: Column) -> Column:
@@ -156,12 +205,13 @@ BULLETS = r"[\u2022\u00b7*\-\u2013\u2014\u25e6\u25cf\u25cb\u25c6\u25c7\u25aa\u25
 ORDINALS = "첫째|둘째|셋째|넷째|다섯째|여섯째|일곱째|여덟째|아홉째|열째"
 NUMBERS = "첫|두|둘|세|셋|네|넷|다섯|여섯|일곱|여덟|아홉|열|[0-9]+"
 PLACEHOLDERS = ["‹#›", "<#>", "〈#〉", "《#》", "【#】"]
+MASTER, STYLE, PROMPT = "마스터", "스타일", "편집하려면 클릭"
 
 
 def is_noise_line(line: Column) -> Column:
     """Prompts of a slide master, bullets alone, placeholders of slide numbers, and empty lines."""
     level = rf"^(?:{BULLETS}\s*)?(?:(?:{ORDINALS})|(?:{NUMBERS})\s*(?:번째)?)\s*수준\s*$"
-    prompt = (line.contains("마스터") & line.contains("스타일")) | line.contains("편집하려면 클릭")
+    prompt = (line.contains(MASTER) & line.contains(STYLE)) | line.contains(PROMPT)
     return (line == "") | prompt | line.rlike(level) | line.rlike(f"^{BULLETS}$") | line.isin(*PLACEHOLDERS)
 
 
@@ -173,15 +223,105 @@ def drop_noise_lines(s: Column, compose: bool = False) -> Column:
     return F.array_join(F.filter(tidy, lambda x: ~is_noise_line(x)), "\n")
 
 
+# Characters of HWP texts that go, those that stay, and those that make a line worth keeping.
+_HWP_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+_HWP_OTHER = r"[^\n\t \x21-\x7E\uAC00-\uD7A3\u1100-\u11FF\u3130-\u318F\u20A9\u00B7]"
+_HWP_SIGNAL = r"0-9A-Za-z@\uAC00-\uD7A3"
+
+
 def clean_hwp(s: Column) -> Column:
-    """Control characters go, others than ASCII, Hangul and two signs become blanks; runs of blanks and of empty lines
-    shrink, lines without a letter, digit or @ become empty."""
-    t = F.replace(F.coalesce(s, F.lit("")), F.lit("\r"), F.lit("\n"))
-    t = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    t = F.regexp_replace(t, r"[^\n\t \x21-\x7E\uAC00-\uD7A3\u1100-\u11FF\u3130-\u318F\u20A9\u00B7]", " ")
-    tidy = F.transform(F.split(t, "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
-    kept = F.transform(tidy, lambda x: F.when(x.rlike(r"[0-9A-Za-z@\uAC00-\uD7A3]"), x).otherwise(F.lit("")))
-    return trim_white(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+    """Control characters go, others than ASCII, Hangul and two signs become blanks; blanks in a row and empty lines shrink,
+    lines are trimmed, those without a letter, digit or @ become empty."""
+    t = F.translate(F.coalesce(s, F.lit("")), "\r", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, _HWP_CONTROL, ""), _HWP_OTHER, " ")
+    t = F.regexp_replace(t, r"(?m)(?<= ) +|^[ \t]+|[ \t]+$", "")
+    t = F.regexp_replace(t, rf"(?m)^[^\n{_HWP_SIGNAL}]+$", "")
+    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def _hwp_indexed(raw: str) -> Indexed:
+    own = Indexed(list(enumerate(raw.replace("\r", "\n")))).without(_HWP_CONTROL)
+    own = own.translated({ord(c): " " for c in set(re.findall(_HWP_OTHER, own.text))})
+    own = own.without(r"(?m)(?<= ) +|^[ \t]+|[ \t]+$").without(rf"(?m)^[^\n{_HWP_SIGNAL}]+$")
+    return own.without(r"(?<=\n\n)\n+").without(r"\A\s+|\s+\Z")
+
+
+@F.arrow_udf(INDEXED)
+def clean_hwp_indexed(texts: pa.Array) -> pa.Array:
+    """As ``clean_hwp``, and for each character its place in the raw text."""
+    return _indexed_rows([_hwp_indexed(t or "") for t in texts.to_pylist()])
+
+
+# Fixed value: an address as text recognition may read it.
+RELAXED_EMAIL = "[A-Za-z0-9._%+\\-]+[@\uff20][A-Za-z0-9.\\-]+[.\u3002,\u00b7][A-Za-z]{2,}"
+
+
+def find_target(raw: Column, target: Column) -> Column:
+    """struct<start, end> of a target of two characters or more in a text: as it is, else without case in compatible characters
+    (if these leave the length), else without white space; null if it isn't there."""
+    want = F.regexp_replace(F.coalesce(target, F.lit("")), r"^\s+|\s+$", "")
+    at = lambda place, n: F.struct((place - 1).cast("int").alias("start"), (place - 1 + n).cast("int").alias("end"))
+    lowered, low = F.lower(nfkc(raw)), F.lower(nfkc(want))
+    short, places = compact(raw, r"\S")
+    tight = F.regexp_replace(want, r"\s+", "")
+    k = F.instr(short, tight)
+    spread = F.struct(F.get(places, k - 1).alias("start"), (F.get(places, k + F.length(tight) - 2) + 1).alias("end"))
+    return (
+        F.when((F.length(want) < 2) | (F.coalesce(raw, F.lit("")) == ""), F.lit(None))
+        .when(F.instr(raw, want) > 0, at(F.instr(raw, want), F.length(want)))
+        .when((F.instr(lowered, low) > 0) & (F.length(lowered) == F.length(raw)), at(F.instr(lowered, low), F.length(low)))
+        .when((F.length(tight) >= 2) & (k > 0), spread)
+    )
+
+
+def _table_lines(run: list[list[str]]) -> list[str] | None:
+    """A run of rows as a Markdown table; None if they are one already or have a single column."""
+    n = max(map(len, run))
+    marked = any(len(row) >= 2 and all(re.fullmatch(r"[ \-:]+", cell) for cell in row) for row in run)
+    if len(run) < 2 or n < 2 or marked:
+        return None
+    filled = [[*row, *[""] * (n - len(row))] for row in run]
+    head = ["" if re.fullmatch(r"(?i)col(?:umn)?\s*[0-9]+", cell.strip()) else cell for cell in filled[0]]
+    line = lambda cells: "| " + " | ".join(c.replace("|", r"\|") for c in cells) + " |"
+    return ["", line(head), line(["---"] * n), *map(line, filled[1:]), ""]
+
+
+def _pipe_cells(line: str) -> list[str]:
+    return [c.strip() for c in re.sub(r"^\||\|$", "", line.strip()).split("|")]
+
+
+def _space_cells(line: str) -> list[str]:
+    return [c.strip() for c in re.split(r"\s{2,}", line.rstrip())]
+
+
+#: Kinds of rows in the order in which they are tried: what tells one, its cells, and rows that make a table.
+_ROW_KINDS = [
+    (lambda x: "\t" in x and x.strip() != "", lambda x: [c.strip() for c in x.split("\t")], 2),
+    (lambda x: "|" in x and x.strip() != "" and len(_pipe_cells(x)) >= 2, _pipe_cells, 2),
+    (lambda x: re.search(r"\s{2,}", x) is not None and x.strip() != "" and len(_space_cells(x)) >= 2, _space_cells, 3),
+]
+
+
+def markdown_tables(text: str) -> str:
+    """Runs of rows (by tabs, pipes, or two blanks) become Markdown tables; code between fences stays, and so does a text that
+    has a table of HTML."""
+    if "<table" in text:
+        return text
+    lines, out, fenced, at = text.split("\n"), [], False, 0
+    while at < len(lines):
+        fence = lines[at].strip().startswith("```")
+        fenced ^= fence
+        kind = next((k for k in _ROW_KINDS if k[0](lines[at])), None) if not fence and not fenced else None
+        run = [lines[at]] if kind is None else list(itertools.takewhile(kind[0], lines[at:]))
+        made = _table_lines([kind[1](x) for x in run]) if kind and len(run) >= kind[2] else None
+        out += run if made is None else made
+        at += len(run)
+    return "\n".join(out)
+
+
+@F.arrow_udf(T.StringType())
+def tables_to_markdown(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else markdown_tables(t) for t in texts.to_pylist()], pa.string())
 
 
 def data_uri(mime: Column, content: Column) -> Column:

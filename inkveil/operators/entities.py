@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from inkveil.operators.spans import runs  # noqa: F401
+from inkveil.functions.text import blank_tables
+from inkveil.operators.chunks import chunk_windows
+from inkveil.operators.spans import blank_ranges, greatest_before, let
 
 ENTITY = "array<struct<label:string,start:int,end:int,score:double>>"
 #: Labels whose tokens join over a few blanks; others must touch.
@@ -48,6 +50,50 @@ def run(documents: DataFrame, provider: NerProvider = no_entities) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(provider, "doc_id long, label string, start int, end int, score double")
 
 
+def recognise(documents: DataFrame, provider: NerProvider = no_entities, exclude: str | None = None, without_tables: bool = False, size: int = 1500, overlap: int = 200, labels: list[str] | None = None, gap: int = 0) -> DataFrame:
+    """(doc_id, entities): a provider's entities of (doc_id, text): ranges to leave out (a column of structs start, end) and, if
+    asked for, table lines are blanked; the text goes in chunks that overlap; labels lose their prefixes; an entity is clipped to
+    its chunk, and of a label's overlapping ones in a chunk the first stays; those of all chunks merge, sorted. One shuffle, by
+    document; a provider sees batches of (doc_id, text) whose doc_id is a number of the chunk."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    if exclude:
+        text = blank_ranges(text, F.col(exclude))
+    if without_tables:
+        text = blank_tables(text)
+    chunks = chunk_windows(documents.select("doc_id", text.alias("text")), ["doc_id"], size=size, overlap=overlap)
+
+    def of_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            asked = pd.DataFrame({"doc_id": range(len(batch)), "text": batch["text"]})
+            for found in provider(iter([asked])):
+                at = found["doc_id"].astype(int).to_numpy()
+                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[at], "chunk": batch["chunk"].to_numpy()[at], "begin": batch["start"].to_numpy()[at], "n": batch["text"].str.len().to_numpy()[at], "label": found["label"].to_numpy(), "start": found["start"].to_numpy(), "end": found["end"].to_numpy(), "score": found["score"].to_numpy()})
+
+    kind = dict(documents.select("doc_id").dtypes)["doc_id"]
+    raw = chunks.mapInPandas(of_chunks, f"doc_id {kind}, chunk int, begin int, n int, label string, start int, end int, score double")
+    label = normal_label(F.col("label"))
+    own = raw.select("doc_id", "chunk", label.alias("label"), F.greatest(F.lit(0), F.least(F.col("n"), F.col("start"))).alias("s"), F.greatest(F.lit(0), F.least(F.col("n"), F.col("end"))).alias("e"), "begin", "score")
+    own = own.where((F.col("e") > F.col("s")) & (F.col("label") != "") & (F.col("label").isin(*[x.upper() for x in labels]) if labels else F.lit(True)))
+    one = F.struct((F.col("begin") + F.col("s")).alias("start"), (F.col("begin") + F.col("e")).alias("end"), "label", "score")
+    lists = own.groupBy("doc_id", "chunk").agg(F.sort_array(F.collect_list(one)).alias("x"))
+    plain = F.transform("x", lambda x: F.struct(x["label"].alias("label"), x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["score"].cast("double").alias("score")))
+    docs = lists.select("doc_id", first_wins(plain).alias("x")).groupBy("doc_id").agg(F.flatten(F.collect_list("x")).alias("x"))
+    ordered = F.transform(F.sort_array(F.transform(merge(F.col("x"), gap), lambda x: F.struct(x["start"], x["end"], x.alias("x")))), lambda k: k["x"])
+    return docs.select("doc_id", ordered.alias("entities"))
+
+
+def label_distribution(entities: DataFrame, most: int = 12) -> DataFrame:
+    """The most frequent labels and how often each occurs; ties by label."""
+    return entities.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most)
+
+
+def within_text(entities: Column, text: Column) -> Column:
+    """Entities clipped to their text, those that hold nothing but white space left out."""
+    n = F.length(text)
+    clipped = F.transform(entities, lambda x: F.struct(x["label"].alias("label"), F.greatest(F.lit(0), F.least(n, x["start"])).cast("int").alias("start"), F.greatest(F.lit(0), F.least(n, x["end"])).cast("int").alias("end"), x["score"].alias("score")))
+    return F.filter(clipped, lambda x: (x["end"] > x["start"]) & F.substring(text, x["start"] + 1, x["end"] - x["start"]).rlike(r"\S"))
+
+
 def normal_label(label: Column) -> Column:
     """Without the prefix of a tagging scheme, upper-case."""
     return F.upper(F.regexp_replace(F.coalesce(label, F.lit("")), r"(?i)^[BIES][-_]", ""))
@@ -74,19 +120,29 @@ def token_spans(tokens: DataFrame, keys: list[str], text_col: str = "text", thre
 
 def merge(entities: Column, gap: int = 0) -> Column:
     """Entities of a label that overlap, touch or lie within the gap become one; scores are means weighted by length, in
-    order."""
+    order: each joins the merged one so far with that one's length."""
     length = lambda x: F.greatest(F.lit(1), x["end"] - x["start"])
-    ordered = F.array_sort(F.transform(entities, lambda x: F.struct(x["label"].alias("label"), x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["score"].cast("double").alias("score"))))
+    as_entity = lambda x: F.struct(x["label"].alias("label"), x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["score"].cast("double").alias("score"))
+
+    def joined(a: Column, x: Column) -> Column:
+        score = (a["score"] * length(a) + x["score"] * length(x)) / (length(a) + length(x))
+        return F.struct(x["label"].alias("label"), F.coalesce(a["start"], x["start"]).alias("start"), F.greatest(F.coalesce(a["end"], x["end"]), x["end"]).alias("end"), F.coalesce(score, x["score"]).alias("score"))
+
+    def of_label(own: Column) -> Column:
+        reach = greatest_before(F.transform(own, lambda x: x["end"]))
+
+        def islands(r: Column) -> Column:
+            firsts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i)["start"] > F.get(r, i) + gap))
+            cut = lambda f: F.transform(f, lambda i, k: F.slice(own, i + 1, F.coalesce(F.get(f, k + 1), F.size(own)) - i))
+            none = F.lit(None).cast("struct<label:string,start:int,end:int,score:double>")
+            return let(firsts, lambda f: F.transform(cut(f), lambda isle: F.aggregate(isle, none, joined)))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["label"] == x["label"]) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"] + gap)
-        last = F.try_element_at(acc, F.lit(-1))
-        score = (last["score"] * length(last) + x["score"] * length(x)) / (length(last) + length(x))
-        both = F.struct(x["label"].alias("label"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), score.alias("score"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(acc, F.array(x)))
+        return let(reach, islands)
 
-    return F.aggregate(ordered, F.array().cast(ENTITY), step)
+    ordered = F.sort_array(F.transform(entities, as_entity))
+    kinds = F.array_distinct(F.transform(ordered, lambda x: x["label"]))
+    each = lambda every: F.flatten(F.transform(kinds, lambda k: of_label(F.filter(every, lambda x: x["label"].eqNullSafe(k)))))
+    return F.when(F.size(entities) == 0, F.array().cast(ENTITY)).otherwise(let(ordered, each))
 
 
 def first_wins(entities: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.operators.spans import rule_label, union_ranges
+from inkveil.operators.spans import covered, rule_label, union_ranges
 
 # Kinds by what the rule's name contains, the first that fits.
 KINDS = [("rrn", "id"), ("fgn", "id"), ("passport", "id"), ("driver", "id"), ("card", "card"), ("email", "email"), ("phone", "phone")]
@@ -39,13 +39,25 @@ def totals(matches: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     return out if entities is None else out.join(entities.agg(F.round(F.avg("score"), 2).alias("mean_score")))
 
 
+def _share(df: DataFrame) -> DataFrame:
+    share = F.when(F.col("total_chars") > 0, F.col("exposed_chars") * 100 / F.col("total_chars")).otherwise(0.0)
+    return df.withColumn("exposure", F.round(share, 6))
+
+
 def exposure(documents: DataFrame, matches: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """By document: characters under valid matches, each once, of all, and their share in per cent."""
+    """By document: characters under valid matches (rows), each once, of all, and their share in per cent. documents: the
+    corpus itself, not what the matches were made in, which would be made once more."""
     merged = union_ranges(matches.where("valid").select(key, "s", "e"), [key], "s", "e")
     sizes = documents.select(key, F.length(F.coalesce(text_col, F.lit(""))).alias("total_chars"))
-    covered = merged.join(sizes, key).groupBy(key).agg(F.sum(F.greatest(F.lit(0), F.least(F.col("e"), F.col("total_chars")) - F.greatest(F.col("s"), F.lit(0)))).alias("exposed_chars"))
-    share = F.when(F.col("total_chars") > 0, F.col("exposed_chars") * 100 / F.col("total_chars")).otherwise(0.0)
-    return sizes.join(covered, key, "left").withColumn("exposed_chars", F.coalesce("exposed_chars", F.lit(0)).cast("long")).withColumn("exposure", F.round(share, 6))
+    part = F.greatest(F.lit(0), F.least(F.col("e"), F.col("total_chars")) - F.greatest(F.col("s"), F.lit(0)))
+    return _share(sizes.join(merged, key, "left").groupBy(key, "total_chars").agg(F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("exposed_chars")))
+
+
+def exposure_of(df: DataFrame, keys: list[str], text_col: str = "text", matches: str = "matches") -> DataFrame:
+    """The same in the row of a document with its list of matches: no shuffle."""
+    n = F.length(F.coalesce(text_col, F.lit("")))
+    exposed = covered(F.filter(matches, lambda x: x["valid"]), n)
+    return _share(df.select(*keys, n.alias("total_chars"), exposed.alias("exposed_chars")))
 
 
 def overlap_rate(matches: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -13,27 +13,79 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from inkveil.functions import masks, validators
-from inkveil.functions.rules import Rule, select
+from inkveil.functions.rules import GUARDS, Rule, select
 
 SPAN = "array<struct<rule:string,start:int,end:int,value:string>>"
 
 
+#: Characters of a block, and of a text from which on blocks are made.
+BLOCK, LONG = 1024, 8192
+
+
+def let(value: Column, body) -> Column:
+    """The body over a value that is computed once: a lambda reads its variable, not the expression behind it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, combine, start: Column) -> Column:
+    """For each place the values before it, combined. By blocks of about the root of the number of values, so the steps grow
+    with its power of 1.5, and no list is copied for each value."""
+    fold = lambda part: F.aggregate(part, start, combine)
+
+    def body(v: Column) -> Column:
+        width = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int"))
+
+        def of_width(w: Column) -> Column:
+            blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / w).cast("int")), lambda b: fold(F.slice(v, b * w + 1, w)))
+            before = lambda own: F.transform(own, lambda x, b: fold(F.slice(own, F.lit(1), b)))
+            at = lambda i: F.floor(i / w).cast("int")
+            return let(let(blocks, before), lambda ahead: F.transform(v, lambda x, i: combine(F.get(ahead, at(i)), fold(F.slice(v, at(i) * w + 1, F.pmod(i, w))))))
+
+        return let(width, of_width)
+
+    return let(values, body)
+
+
+def sums_before(values: Column) -> Column:
+    return running(values, lambda a, b: a + b, F.lit(0))
+
+
+def greatest_before(values: Column) -> Column:
+    return running(values, lambda a, b: F.greatest(a, b), F.lit(-1))
+
+
 def find(text: Column, pattern: str, rule: str) -> Column:
     """All matches of an expression that never matches the empty text, left to right, not overlapping."""
-    t = F.coalesce(text, F.lit(""))
-    both = F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda g, v: F.struct(g.alias("g"), v.alias("v")))
-    empty = F.array().cast(SPAN)
-    start = lambda acc, x: acc["p"] + F.length(x["g"])
-    step = lambda acc, x: F.struct(
-        (start(acc, x) + F.coalesce(F.length(x["v"]), F.lit(0))).alias("p"),
-        F.when(x["v"].isNull(), acc["o"]).otherwise(F.concat(acc["o"], F.array(F.struct(F.lit(rule).alias("rule"), start(acc, x).alias("start"), (start(acc, x) + F.length(x["v"])).alias("end"), x["v"].alias("value"))))).alias("o"),
-    )
-    return F.when(t.rlike(pattern), F.aggregate(both, F.struct(F.lit(0).alias("p"), empty.alias("o")), step, lambda acc: acc["o"])).otherwise(empty)
+    none = F.array().cast(SPAN)
+
+    def spans_of(t: Column, found: Column) -> Column:
+        def placed(gaps: Column) -> Column:
+            before = sums_before(F.zip_with(gaps, found, lambda g, v: F.length(g) + F.coalesce(F.length(v), F.lit(0))))
+            at = lambda b, i: F.get(b, i) + F.length(F.get(gaps, i))
+            return let(before, lambda b: F.transform(found, lambda v, i: F.struct(F.lit(rule).alias("rule"), at(b, i).alias("start"), (at(b, i) + F.length(v)).alias("end"), v.alias("value"))))
+
+        return F.when(F.size(found) == 0, none).otherwise(let(F.split(t, pattern, -1), placed))
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: spans_of(t, found)))
 
 
 def candidates(text: Column, rules: list[Rule] | None = None) -> Column:
-    """Matches of all rules, in the order of their priority."""
-    return F.concat(*[find(text, r.java, r.name) for r in (rules if rules is not None else select())], F.array().cast(SPAN))
+    """Matches of all rules, in the order of their priority. A rule is tried only in texts that pass its guard."""
+    none = F.array().cast(SPAN)
+    each = [F.when(text.rlike(GUARDS[r.name]), find(text, r.java, r.name)).otherwise(none) if r.name in GUARDS else find(text, r.java, r.name) for r in (rules if rules is not None else select())]
+    return F.concat(*each, none)
+
+
+def blocks(text: Column) -> Column:
+    """A long text in blocks, of which ``part`` takes its parts without walking over the text each time."""
+    return F.when(F.length(text) >= LONG, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def part(text: Column, own: Column, first: Column, n: Column) -> Column:
+    """n characters of a text from a place (from 0) on; own: its blocks."""
+    at = F.floor(first / BLOCK).cast("int")
+    two = F.concat(F.coalesce(F.get(own, at), F.lit("")), F.coalesce(F.get(own, at + 1), F.lit("")))
+    return F.when((F.size(own) == 0) | (n > BLOCK), F.substring(text, first + 1, n)).otherwise(F.substring(two, F.pmod(first, F.lit(BLOCK)) + 1, n))
 
 
 def fixed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -42,13 +94,14 @@ def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def annotate(spans: Column, text: Column, as_of: datetime.date = validators.AS_OF, around: int = 20) -> Column:
-    """Adds to each span whether it is valid, why not, and the text around it."""
+def annotate(spans: Column, text: Column, as_of: datetime.date = validators.AS_OF, around: int = 20, own: Column | None = None) -> Column:
+    """Adds to each span whether it is valid, and the text around it; own: the text's blocks, if they are at hand."""
+    own = F.array().cast("array<string>") if own is None else own
     def one(x: Column) -> Column:
         valid = validators.is_valid(x["rule"], x["value"], as_of)
         first = F.greatest(x["start"] - around, F.lit(0))
         last = F.least(x["end"] + around, F.length(text))
-        return F.struct(x["rule"].alias("rule"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.substring(text, first + 1, last - first).alias("context"), valid.alias("valid"))
+        return F.struct(x["rule"].alias("rule"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), part(text, own, first, last - first).alias("context"), valid.alias("valid"))
 
     return F.transform(spans, one)
 
@@ -61,21 +114,37 @@ def explain(spans: Column, as_of: datetime.date = validators.AS_OF) -> Column:
 def annotated(df: DataFrame, text_col: str = "text", rules: list[str] | None = None, as_of: datetime.date = validators.AS_OF) -> DataFrame:
     """Adds spans: all candidates of the rules, checked, with context and reasons."""
     a = fixed(df, _text=F.coalesce(F.col(text_col), F.lit("")))
-    b = fixed(a, _candidates=candidates(F.col("_text"), select(rules)))
-    c = fixed(b, _checked=annotate(F.col("_candidates"), F.col("_text"), as_of))
-    return fixed(c, spans=explain(F.col("_checked"), as_of)).drop("_text", "_candidates", "_checked")
+    b = fixed(a, _candidates=candidates(F.col("_text"), select(rules)), _blocks=blocks(F.col("_text")))
+    c = fixed(b, _checked=annotate(F.col("_candidates"), F.col("_text"), as_of, own=F.col("_blocks")))
+    return fixed(c, spans=explain(F.col("_checked"), as_of)).drop("_text", "_candidates", "_blocks", "_checked")
 
 
 def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def meets(ordered: Column, which) -> Column:
+    """For each of sorted spans whether it overlaps another one of a kind: one before it that reaches beyond its start, or
+    the next one behind it that begins before its end."""
+    far = 2**31 - 1
+    ends = F.transform(ordered, lambda x: F.when(which(x), x["end"]).otherwise(F.lit(-1)))
+    # from the right, as negative numbers, the nearest start is the greatest; none is the least
+    starts = F.transform(F.reverse(ordered), lambda x: F.when(which(x), -x["start"]).otherwise(F.lit(-far)))
+    after = running(starts, lambda a, b: F.greatest(a, b), F.lit(-far))
+    return let(greatest_before(ends), lambda reach: let(F.reverse(after), lambda nxt: F.transform(ordered, lambda x, i: (F.get(reach, i) > x["start"]) | (-F.get(nxt, i) < x["end"]))))
+
+
 def filter_overlapping(spans: Column) -> Column:
     """Valid spans stay, all of them. Others go if they overlap a valid one, or, unless they are resident or foreigner
     numbers themselves, any candidate of these. Sorted by (start, -end), ties as they came."""
     strong = lambda x: x["rule"].isin("rrn", "fgn")
-    kept = F.filter(spans, lambda m: m["valid"] | (~F.exists(spans, lambda v: v["valid"] & overlap(m, v)) & (strong(m) | ~F.exists(spans, lambda h: strong(h) & overlap(m, h)))))
-    return sort_spans(kept)
+
+    def kept(own: Column) -> Column:
+        return let(meets(own, lambda x: x["valid"]), lambda by_valid: let(meets(own, strong), lambda by_strong: F.filter(own, lambda m, i: m["valid"] | (~F.get(by_valid, i) & (strong(m) | ~F.get(by_strong, i))))))
+
+    few = F.filter(spans, lambda x: ~x["valid"])
+    # where all are valid there is nothing to compare
+    return let(sort_spans(spans), lambda own: F.when(F.size(few) == 0, own).otherwise(kept(own)))
 
 
 def sort_spans(spans: Column) -> Column:
@@ -101,8 +170,17 @@ def collect(spans: Column) -> tuple[Column, Column]:
 
 
 def without_forbidden(allowed: Column, forbidden: Column) -> Column:
-    """The stricter mode: an invalid candidate takes an overlapping valid one with it."""
-    return F.filter(allowed, lambda a: ~F.exists(forbidden, lambda f: overlap(a, f)))
+    """The stricter mode: an invalid candidate takes an overlapping valid one with it. In the order of starts."""
+    tagged = lambda spans, ok: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(ok).alias("ok"), x.alias("x")))
+    free = lambda own: let(meets(own, lambda x: ~x["ok"]), lambda hit: F.filter(own, lambda x, i: x["ok"] & ~F.get(hit, i)))
+    whole = let(sort_spans(F.concat(tagged(allowed, True), tagged(forbidden, False))), free)
+    return F.when(F.size(forbidden) == 0, sort_spans(allowed)).otherwise(F.transform(whole, lambda x: x["x"]))
+
+
+def covered(spans: Column, n: Column) -> Column:
+    """How many of a text's n characters lie under spans, each once."""
+    step = lambda acc, x: F.struct(F.greatest(acc["last"], x["end"]).alias("last"), (acc["sum"] + F.greatest(F.lit(0), F.least(x["end"], n) - F.greatest(x["start"], acc["last"]))).alias("sum"))
+    return F.aggregate(sort_spans(spans), F.struct(F.lit(0).alias("last"), F.lit(0).cast("int").alias("sum")), step, lambda acc: acc["sum"].cast("long"))
 
 
 def apply(text: Column, spans: Column, mask) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkveil.functions import masks, text
-from inkveil.operators import entities, geometry, report, spans, tables
+from inkveil.operators import chunks, entities, geometry, report, spans, tables
 from inkveil.plans import oracle
-from inkveil.plans.queries import _ALNUM, POLICY, _char_fold, query, read, seeded, span_rows
+from inkveil.plans.queries import _ALNUM, POLICY, SQL, _char_fold, query, read, seeded, span_rows
 from inkveil.plans.seed import corpus
 
 # --- reports --------------------------------------------------------------------------------------------------------------
@@ -59,8 +59,12 @@ def span_union_islands(spark, sf_dir):
 @query("exposure_ratio", oracle.seeded("""select t.doc_id, coalesce(length(text), 0) as total_chars, coalesce(sum(least(e, length(text)) - s), 0)::bigint as exposed_chars,
     round(case when coalesce(length(text), 0) = 0 then 0.0 else coalesce(sum(least(e, length(text)) - s), 0) * 100.0 / length(text) end, 6) as exposure from seed t left join isles i on t.doc_id = i.doc_id group by t.doc_id, text""").replace("\nselect", ", " + _ISLANDS.format(source="(select * from kept where valid)") + "\nselect", 1))
 def exposure_ratio(spark, sf_dir):
-    found = seeded(spark, sf_dir)
-    return report.exposure(found.select("doc_id", "text"), span_rows(found))
+    return report.exposure_of(seeded(spark, sf_dir), ["doc_id"])
+
+
+@query("exposure_by_rows", SQL["exposure_ratio"])
+def exposure_by_rows(spark, sf_dir):
+    return report.exposure(corpus(spark, sf_dir), span_rows(seeded(spark, sf_dir)))
 
 
 @query("overlap_rate", oracle.seeded("select doc_id, sum(n_spans)::bigint as n_raw, count(*) as n_merged, round((sum(n_spans) - count(*)) * 100.0 / sum(n_spans), 6) as overlap_rate from isles group by doc_id").replace("\nselect", ", " + _ISLANDS.format(source="cand") + "\nselect"))
@@ -81,12 +85,21 @@ def rollup_report(spark, sf_dir):
 # --- redaction ------------------------------------------------------------------------------------------------------------
 
 
-@query("redact_blanket", oracle.seeded("select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)" + oracle.PLAIN["email"] + "', '***', 'g'), '(?i)" + oracle.PLAIN["phone_mobile"] + "', '***', 'g'), '(?i)" + oracle.PLAIN["phone_city"] + "', '***', 'g'), '(?i)" + oracle.PLAIN["passport"] + "', '***', 'g') as redacted from seed", False))
-def redact_blanket(spark, sf_dir):
-    from inkveil.functions.rules import RULES
+def _blanket_sql(text: str) -> str:
+    """Rule by rule in the order of priority; where a rule looks at the digits around, these are kept, and it runs twice, as a
+    match takes the character behind it."""
+    for rule in ("card", "email", "rrn", "fgn", "phone_mobile", "phone_city", "driver_license", "passport"):
+        if rule in oracle.PLAIN:
+            text = f"regexp_replace({text}, '(?i){oracle.PLAIN[rule]}', '***', 'g')"
+        else:
+            for _ in range(2):
+                text = f"regexp_replace({text}, '(^|[^0-9])(?:{oracle.GUARDED[rule][0]})([^0-9]|$)', '\\1***\\2', 'g')"
+    return text
 
-    rules = [RULES[r] for r in ("email", "phone_mobile", "phone_city", "passport")]
-    return corpus(spark, sf_dir).select("doc_id", spans.blanket(F.col("text"), rules).alias("redacted"))
+
+@query("redact_blanket", oracle.seeded(f"select doc_id, {_blanket_sql('text')} as redacted from seed", False))
+def redact_blanket(spark, sf_dir):
+    return corpus(spark, sf_dir).select("doc_id", spans.blanket(F.col("text")).alias("redacted"))
 
 
 _FREE = "(select * from cand a where valid and not exists (select 1 from cand f where f.doc_id = a.doc_id and not f.valid and f.s < a.e and a.s < f.e))"
@@ -173,17 +186,20 @@ def label_filter(spark, sf_dir):
 
 @query("span_to_page", oracle.seeded("select doc_id, rule, s, s // 40 as page from kept"))
 def span_to_page(spark, sf_dir):
-    df = corpus(spark, sf_dir).select("doc_id", "text")
     n = F.length(F.coalesce("text", F.lit("")))
-    pages = df.select("doc_id", F.posexplode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(40))).alias("page", "first")).withColumn("next", F.col("first") + 40)
-    m = _rows(spark, sf_dir)
-    return m.join(pages, (m.doc_id == pages.doc_id) & (m.s >= pages["first"]) & (m.s < pages["next"])).select(m.doc_id, "rule", "s", F.col("page"))
+    pages = corpus(spark, sf_dir).select("doc_id", F.posexplode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(40))).alias("page", "first"))
+    return chunks.page_of(_rows(spark, sf_dir).withColumnRenamed("s", "start"), pages, ["doc_id"]).select("doc_id", "rule", F.col("start").alias("s"), "page")
 
 
-@query("needle_to_page", oracle.seeded("select doc_id, min(page) as page from (select doc_id, page, substr(text, page * 60 + 1, 60) as part, licence from (select *, unnest(range(0, 5)) as page from seed where text is not null)) where instr(part, licence) > 0 group by doc_id", False))
+@query("needle_to_page", oracle.seeded("""select doc_id, needle, min(case when instr(part, needle) > 0 then page end) as page_whole, coalesce(min(case when instr(part, needle) > 0 then page end), min(case when instr(regexp_replace(part, '\\s+', '', 'g'), regexp_replace(needle, '\\s+', '', 'g')) > 0 then page end)) as page
+    from (select doc_id, unnest([licence, concat('; t', 'el'), concat(mail, ' ; id'), 'nowhere']) as needle, page, substr(text, page * 60 + 1, 60) as part from (select *, unnest(range(0, (length(text) - 1) // 60 + 1)) as page from seed where text is not null)) group by doc_id, needle""", False))
 def needle_to_page(spark, sf_dir):
-    df = corpus(spark, sf_dir).where("text is not null").withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
-    return df.where(F.instr(F.substring("text", (F.col("page") * 60 + 1).cast("int"), F.lit(60)), F.col("licence")) > 0).groupBy("doc_id").agg(F.min("page").alias("page"))
+    df = corpus(spark, sf_dir).where("text is not null")
+    pages = df.select("doc_id", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / 60).cast("int"))).alias("page"), "text").withColumn("text", F.substring("text", F.col("page") * 60 + 1, F.lit(60)))
+    wanted = df.select("doc_id", F.explode(F.array("licence", F.lit("; tel"), F.concat("mail", F.lit(" ; id")), F.lit("nowhere"))).alias("needle"))
+    out = chunks.needle_page(wanted, pages, ["doc_id"])
+    whole = out.join(pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("_p")), "doc_id").withColumn("page_whole", F.get(F.filter("_p", lambda p: F.contains(p["text"], F.col("needle"))), F.lit(0))["page"])
+    return whole.select("doc_id", "needle", F.col("page_whole").cast("long").alias("page_whole"), F.col("page").cast("long").alias("page"))
 
 
 # --- text -------------------------------------------------------------------------------------------------------------------
@@ -269,7 +285,7 @@ def a1_reference(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", r.alias("r"), c.cast("long").alias("c"))
 
 
-_CELLS = "select l_orderkey as sheet, l_linenumber as row, (l_partkey % 4 + 1)::int as col, cast(max(l_suppkey) as varchar) as value from lineitem where l_orderkey % 10 = 0 group by all"
+_CELLS = "select l_orderkey as sheet, l_linenumber as row, (l_partkey % 4 + 1)::int as col, cast(max(l_suppkey) as varchar) as value from lineitem group by all"
 _GRID = f"""cells as materialized ({_CELLS}), size as (select sheet, max(row) as r, max(col) as c from cells group by sheet),
     full_cells as (select s.sheet, row, col, r, c from (select *, unnest(range(1, r + 1)) as row from size) s, (select unnest(range(1, 5)) as col) where col <= c),
     grid as (select f.sheet, f.row, string_agg(coalesce(value, ''), '|' order by f.col) as line, string_agg(concat('<td>', coalesce(value, ''), '</td>'), '' order by f.col) as html from full_cells f left join cells x on x.sheet = f.sheet and x.row = f.row and x.col = f.col group by f.sheet, f.row)"""
@@ -318,7 +334,7 @@ def row_grouping(spark, sf_dir):
 
 
 @query("page_text", f"""select page, string_agg(line, chr(10) order by row) as text from (select page, row, string_agg(text, ' ' order by x0, y0, id) as line from (
-    select *, sum(new) over (partition by page order by y0, x0, id rows unbounded preceding) as row from (select *, case when y0 - lag(y0) over (partition by page order by y0, x0, id) <= 8 then 0 else 1 end as new from ({_WORDS} where l_partkey % 500 <> 7))) group by page, row) group by page""")
+    select *, sum(new) over (partition by page order by y0, x0, id rows unbounded preceding) as row from (select *, case when y0 - lag(y0) over (partition by page order by y0, x0, id) <= 8 then 0 else 1 end as new from ({_WORDS}))) group by page, row) group by page""")
 def page_text(spark, sf_dir):
     words = _words(spark, sf_dir).withColumn("x0", F.col("x0") + F.col("id") / 1000)
     return geometry.page_text(words, ["page"])
@@ -395,12 +411,16 @@ def token_spans(spark, sf_dir):
     return entities.token_spans(t, ["doc_id"]).select("doc_id", "label", F.col("start").alias("s"), F.col("end").alias("e"), F.round("score", 9).alias("score"))
 
 
-@query("entity_merge", f"""select doc_id, label, count(*) as n, sum(e - s)::bigint as n_chars from (select doc_id, label, min(start) as s, max("end") as e from (select *, sum(new) over (partition by doc_id, label order by start, "end" rows unbounded preceding) as isle from (
-    select *, case when start <= max("end") over (partition by doc_id, label order by start, "end" rows between unbounded preceding and 1 preceding) + 2 then 0 else 1 end as new from ({_TOKENS}))) group by doc_id, label, isle) group by doc_id, label""")
+@query("entity_merge", f"""with recursive t as materialized (select *, row_number() over (partition by doc_id, label order by start, "end", score) as i from ({_TOKENS})),
+    walk as (select doc_id, label, i, 1 as isle, start as s, "end" as e, score from t where i = 1
+        union all select t.doc_id, t.label, t.i, case when t.start <= w.e + 2 then w.isle else w.isle + 1 end, case when t.start <= w.e + 2 then w.s else t.start end, case when t.start <= w.e + 2 then greatest(w.e, t."end") else t."end" end,
+        case when t.start <= w.e + 2 then (w.score * greatest(1, w.e - w.s) + t.score * greatest(1, t."end" - t.start)) / (greatest(1, w.e - w.s) + greatest(1, t."end" - t.start)) else t.score end
+        from walk w join t on t.doc_id = w.doc_id and t.label = w.label and t.i = w.i + 1)
+    select doc_id, label, s, e, round(score, 9) as score from (select *, row_number() over (partition by doc_id, label, isle order by i desc) as last from walk) where last = 1""")
 def entity_merge(spark, sf_dir):
     lists = _tokens(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("label", "start", "end", "score")).alias("x"))
     merged = lists.select("doc_id", F.inline(entities.merge(F.col("x"), 2)))
-    return merged.groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("n_chars"))
+    return merged.select("doc_id", "label", F.col("start").alias("s"), F.col("end").alias("e"), F.round("score", 9).alias("score"))
 
 
 @query("ps_split", oracle.seeded("select doc_id, v as name, 'PS' as label from (select doc_id, unnest(regexp_extract_all(concat(person, ', 12 ', person), '[^\\s,]+')) as v from seed) where not regexp_full_match(v, '[0-9]+')", False))
@@ -437,8 +457,13 @@ def ner_metrics(spark, sf_dir):
     return entities.metrics(base.where("l_partkey % 5 <> 0"), base.where("l_partkey % 7 <> 0"))
 
 
-@query("regex_priority_merge")
+@query("regex_priority_merge", oracle.seeded("""select doc_id, label, s, e from walk where kept""").replace("\nselect", """,
+    ents as materialized (select doc_id, 'PS' as label, p as s, p + 8 as e, row_number() over (partition by doc_id order by p) as i from
+        (select doc_id, unnest(range(0, greatest(coalesce(length(text), 0) - 8, 0) + 1, 5))::int as p from seed) x where not exists (select 1 from cand m where m.doc_id = x.doc_id and m.valid and x.p < m.e and m.s < x.p + 8)),
+    walk as (select doc_id, label, i, s, e, true as kept, e as reach from ents where i = 1
+        union all select n.doc_id, n.label, n.i, n.s, n.e, n.s >= w.reach, case when n.s >= w.reach then n.e else w.reach end from walk w join ents n on n.doc_id = w.doc_id and n.i = w.i + 1)
+select""", 1).replace("with ", "with recursive ", 1))
 def regex_priority_merge(spark, sf_dir):
     found = spans.annotated(corpus(spark, sf_dir)).withColumn("m", F.filter("spans", lambda x: x["valid"]))
     own = found.withColumn("ents", F.transform(F.sequence(F.lit(0), F.greatest(F.length(F.coalesce("text", F.lit(""))) - 8, F.lit(0)), F.lit(5)), lambda i: F.struct(F.lit("PS").alias("label"), i.alias("start"), (i + 8).alias("end"), F.lit(1.0).alias("score"))))
-    return own.select("doc_id", F.inline(entities.beside_matches(F.col("ents"), F.col("m"))))
+    return own.select("doc_id", F.inline(entities.beside_matches(F.col("ents"), F.col("m")))).select("doc_id", "label", F.col("start").alias("s"), F.col("end").alias("e"))

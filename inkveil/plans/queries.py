@@ -12,6 +12,7 @@ from inkveil.functions.rules import RULES, select
 from inkveil.operators import spans
 from inkveil.plans import oracle
 from inkveil.plans.seed import corpus
+from inkveil.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,9 +93,9 @@ def match_case_sensitive(spark, sf_dir):
     return df.select("doc_id", F.inline("found")).select("doc_id", "rule", F.col("start").alias("s"), F.col("end").alias("e"), "value")
 
 
-@query("match_documents", "with " + oracle.matches("documents", rules=["card", "email", "phone_mobile", "phone_city", "passport"]) + " select doc_id, rule, s, e, value, valid, reason as fail_reason from kept")
+@query("match_documents", "with " + oracle.matches("documents") + " select doc_id, rule, s, e, value, valid, reason as fail_reason from kept")
 def match_documents(spark, sf_dir):
-    df = spans.match(read(spark, sf_dir, "documents").select("doc_id", "text"), rules=["card", "email", "phone_mobile", "phone_city", "passport"])
+    df = spans.match(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
     return span_rows(df).drop("context")
 
 
@@ -227,10 +228,10 @@ def policy_ole(spark, sf_dir):
     return rows.select("doc_id", "rule", "s", "value", masks.binary_policy(F.col("rule"), F.col("value"), POLICY).alias("masked"), masks.binary_mask(F.col("rule"), F.col("value"), POLICY).alias("written"))
 
 
-@query("policy_pdf", oracle.seeded(f"select doc_id, rule, s, length(value) - length(replace(coalesce(nullif({_BINARY_POLICY}, value), repeat('*', length(value))), '*', '')) as n_covered from cand where valid"))
+@query("policy_pdf", oracle.seeded(f"select doc_id, rule, s, array_to_string([p - 1 for p in range(1, length(value) + 1) if m is null or m = value or substr(m, p, 1) <> substr(value, p, 1)], ',') as covered from (select doc_id, rule, s, value, {_BINARY_POLICY} as m from cand where valid)"))
 def policy_pdf(spark, sf_dir):
     rows = span_rows(seeded(spark, sf_dir)).where("valid")
-    return rows.select("doc_id", "rule", "s", F.size(masks.masked_places(F.col("rule"), F.col("value"), POLICY)).cast("long").alias("n_covered"))
+    return rows.select("doc_id", "rule", "s", F.array_join(masks.masked_places(F.col("rule"), F.col("value"), POLICY).cast("array<string>"), ",").alias("covered"))
 
 
 @query("replace_text_guard", oracle.seeded("select doc_id, case when length(card) = 16 then regexp_replace(card, '[0-9]', '*', 'g') end as replace_text from seed", False))

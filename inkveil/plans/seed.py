@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkveil.session import spread
+
 
 def _pad(number: str, n: int) -> str:
     return f"lpad(cast({number} as string), {n}, '0')"
@@ -48,7 +50,7 @@ COLUMNS = ["doc_id", "text", "idno", "card", "card_text", "mobile", "city", "mai
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey as k")
+    df = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey as k"))
     for step in STEPS:
         df = df.selectExpr("*", *[f"{expression} as {name}" for name, expression in step])
     # a generator of one row: filters on the columns don't take their long expressions with them to the scan

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "inkveil", cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -22,3 +22,15 @@ def get_spark(app: str = "inkveil", cpus: int | str = "*", partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+#: Bytes of a table for each core below which ``spread`` deals it out.
+SMALL = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table whose files give fewer partitions than there are cores, dealt over all cores before dear work on each
+    row. A table that is large enough to be split by its files stays as it is: nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SMALL * cores else df
