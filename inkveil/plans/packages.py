@@ -19,7 +19,7 @@ def _files(spark, sf_dir):
             rows = []
             for k, name in zip(batch["n_nationkey"], batch["n_name"], strict=True):
                 card = "4111 1111 1111 1111"
-                rows.append((f"/{k}.docx", "docx", packages.package({"word/document.xml": f"<w:document><w:p><w:r><w:t>{name}</w:t><w:tab/><w:t>a&amp;b</w:t></w:r></w:p><w:p><w:r><w:t>{card}</w:t></w:r></w:p></w:document>", "word/media/x.bin": "raw"})))
+                rows.append((f"/{k}.docx", "docx", packages.package({"word/document.xml": f"<w:document xmlns:w=\"w\"><w:body><w:p><w:r><w:t>{name}</w:t><w:tab/><w:t>a&amp;b</w:t></w:r></w:p><w:p><w:r><w:t>{card}</w:t></w:r></w:p></w:body></w:document>", "word/media/x.bin": "raw"})))
                 rows.append((f"/{k}.xlsx", "xlsx", packages.package({"xl/sharedStrings.xml": f"<sst><si><t>{name}</t></si><si><t>second</t></si></sst>", "xl/worksheets/sheet1.xml": f'<sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>{k}</v></c></row><row r="2"><c r="AB2" t="inlineStr"><is><t>in</t></is></c></row></sheetData>'})))
                 rows.append((f"/{k}.pptx", "pptx", packages.package({"ppt/slides/slide2.xml": "<p><a:t>two</a:t></p>", "ppt/slides/slide1.xml": f"<p><a:t>{name}</a:t></p>", "ppt/slides/slide10.xml": "<p><a:t>ten</a:t></p>"})))
             yield pd.DataFrame(rows, columns=["path", "ext", "content"])
@@ -28,8 +28,8 @@ def _files(spark, sf_dir):
 
 
 @query("package_text", """select concat('/', n_nationkey, '.docx') as path, 'docx' as ext, concat(n_name, chr(9), 'a&b', chr(10), '4111 1111 1111 1111') as text from nation
-    union all select concat('/', n_nationkey, '.xlsx'), 'xlsx', concat(n_name, chr(10), 'second') from nation
-    union all select concat('/', n_nationkey, '.pptx'), 'pptx', concat(n_name, chr(10), chr(10), 'ten', chr(10), chr(10), 'two') from nation""")
+    union all select concat('/', n_nationkey, '.xlsx'), 'xlsx', concat(n_name, chr(10), 'second', chr(10), '0', chr(10), n_nationkey, chr(10), 'in') from nation
+    union all select concat('/', n_nationkey, '.pptx'), 'pptx', concat(n_name, chr(10), 'ten', chr(10), 'two') from nation""")
 def package_text(spark, sf_dir):
     return packages.texts(packages.members(_files(spark, sf_dir)))
 

@@ -325,8 +325,8 @@ def hwpx_settings(found: DataFrame) -> DataFrame:
     own = found.withColumn("_x", F.when(is_settings, settings).otherwise(F.col("xml")))
     changed = is_settings & (F.col("_x") != F.col("xml"))
     data = F.when(is_preview, F.lit(blank_png())).when(changed, encode_xml(F.col("_x"), F.col("encoding"), F.col("data"))).otherwise(F.col("data"))
-    out = own.withColumn("data", data).withColumn("xml", F.col("_x")).drop("_x")
-    return out.withColumn("modified", F.coalesce(F.col("modified") | is_preview | changed, F.col("modified"))) if "modified" in found.columns else out
+    new = {"data": data, "xml": F.col("_x")} | ({"modified": F.col("modified") | F.coalesce(is_preview | changed, F.lit(False))} if "modified" in found.columns else {})
+    return own.withColumns(new).drop("_x")
 
 
 def blank_png() -> bytes:
