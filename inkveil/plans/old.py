@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import struct
+import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +14,8 @@ from inkveil.operators import tables
 from inkveil.plans import samples
 from inkveil.plans.queries import query, read
 from inkveil.plans.samples import CARD, MAIL, PHONE
-from inkveil.sources import legacy
+from inkveil.sources import files, legacy, packages, pdf, pictures
+from inkveil.sources.compound import compound
 
 
 def _files(spark, sf_dir):
@@ -25,9 +29,10 @@ def _files(spark, sf_dir):
 
 def _texts_sql(card: str, mail: str, phone: str, head: str, series: str) -> str:
     line = "' || chr(10) || '"
+    # a card's match takes the blank behind it along
     of = {
         "doc": f"n_name || ' a{line}한글 {card}{line}mail {mail}{line}{series}'",
-        "xls": f"n_name || '{line}한글 {mail}{line}no {card} x{line}no {card} x{line}&C{head}{line}box {mail}'",
+        "xls": f"n_name || '{line}한글 {mail}{line}no {card}{' ' if card == CARD else '*'}x{line}no {card}{' ' if card == CARD else '*'}x{line}&C{head}{line}box {mail}'",
         # a line of asterisks alone is noise of the master, so a masked card leaves none
         "ppt": f"n_name || '{line}{card}{line}한글 {phone}'" if card == CARD else f"n_name || '{line}한글 {phone}'",
         "hwp": f"n_name || ' a{line}카드 {card}{line}{mail} 끝'",
@@ -59,3 +64,88 @@ def legacy_grid(spark, sf_dir):
 def legacy_broken(spark, sf_dir):
     cut = _files(spark, sf_dir).withColumn("content", F.substring("content", 1, 700))
     return legacy.redact(cut).select("path", F.col("error").isNotNull().alias("has_error"), F.col("content").isNull().alias("no_content"))
+
+
+# --- PDF --------------------------------------------------------------------------------------------------------------------
+
+
+def _pdfs(spark, sf_dir):
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(f"/{k}.pdf", "pdf", samples.pdf_of_name(name)) for k, name in zip(batch["n_nationkey"], batch["n_name"], strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "ext", "content"])
+
+    return read(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(make, "path string, ext string, content binary")
+
+
+@query("pdf_pages", f"select concat('/', n_nationkey, '.pdf') as path, 1 as page, concat(n_name, ' (a)', chr(10), 'card {CARD}', chr(10), '한글 123') as text from nation union all select concat('/', n_nationkey, '.pdf'), 2, concat('mail {MAIL} end', chr(10), 'tel {PHONE} 끝') from nation")
+def pdf_pages(spark, sf_dir):
+    return pdf.pages(pdf.words(_pdfs(spark, sf_dir)))
+
+
+@query("pdf_boxes", f"""select concat('/', n_nationkey, '.pdf') as path, page, rule, value, x0, x1 from nation, (select unnest([1, 1, 1, 1, 2, 2]) as page, unnest(['card', 'card', 'card', 'card', 'email', 'phone_mobile']) as rule, unnest(['{CARD}', '{CARD}', '{CARD}', '{CARD}', '{MAIL}', '{PHONE}']) as value,
+    unnest([75.0, 100.0, 125.0, 150.0, 75.0, 70.0]) as x0, unnest([95.0, 120.0, 145.0, 170.0, 115.0, 135.0]) as x1)""")
+def pdf_boxes(spark, sf_dir):
+    found = pdf.boxes(pdf.words(_pdfs(spark, sf_dir)))
+    return found.select("path", "page", "rule", "value", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"))
+
+
+@query("pdf_redact", "select concat('/', n_nationkey, '.pdf') as path, 3 as hits, concat(n_name, ' (a)', chr(10), 'card', chr(10), '한글 123') as first_page, concat('mail end', chr(10), 'tel 끝') as second_page, false as leaks from nation")
+def pdf_redact(spark, sf_dir):
+    done = pdf.redact(_pdfs(spark, sf_dir))
+    again = pdf.pages(pdf.words(done)).groupBy("path").agg(F.max(F.when(F.col("page") == 1, F.col("text"))).alias("first_page"), F.max(F.when(F.col("page") == 2, F.col("text"))).alias("second_page"))
+    raw = F.decode("content", "ISO-8859-1")
+    return done.join(again, "path").select("path", "hits", "first_page", "second_page", (raw.contains("4111") | raw.contains("1234")).alias("leaks"))
+
+
+# --- any file ---------------------------------------------------------------------------------------------------------------
+
+
+def _any(spark, sf_dir):
+    """One nation's file of each kind, an XML file, one of an unknown kind and an empty one."""
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, name in zip(batch["n_nationkey"], batch["n_name"], strict=True):
+                xml_ = f'<?xml version="1.0" encoding="UTF-8"?><r><a>{name}</a><b>{CARD}</b></r>'
+                docx = packages.package({"word/document.xml": f'<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>{name} x {CARD}</w:t></w:r></w:p></w:body></w:document>'})
+                of = {"doc": samples.doc([("cp1252", f"{name} x {CARD}")]), "docx": docx, "pdf": samples.pdf([[(50, 700, name), (50, 600, CARD)]]), "xml": xml_.encode(), "exe": b"MZ", "hwp": b""}
+                rows += [(f"/{k}.{ext}", ext, content) for ext, content in of.items()]
+            yield pd.DataFrame(rows, columns=["path", "ext", "content"])
+
+    return read(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(make, "path string, ext string, content binary")
+
+
+@query("file_text", f"select concat('/', n_nationkey, '.', ext) as path, ext, case when ext in ('exe', 'hwp') then null when ext = 'xml' then concat(n_name, '{CARD}') when ext = 'pdf' then concat(n_name, chr(10), '{CARD}') else concat(n_name, ' x {CARD}') end as text, ext in ('exe', 'hwp') as failed from nation, (select unnest(['doc', 'docx', 'pdf', 'xml', 'exe', 'hwp']) as ext)")
+def file_text(spark, sf_dir):
+    return files.texts(_any(spark, sf_dir)).select("path", "ext", "text", F.col("error").isNotNull().alias("failed"))
+
+
+@query("file_redact", "select concat('/', n_nationkey, '.', ext) as path, ext, case when ext in ('exe', 'hwp') then 0 else 1 end as hits, case ext when 'pdf' then n_name when 'doc' then concat(n_name, ' x ', repeat('*', 19)) when 'docx' then concat(n_name, ' x **** **** **** ****') when 'xml' then concat(n_name, '**** **** **** ****') end as text from nation, (select unnest(['doc', 'docx', 'pdf', 'xml', 'exe', 'hwp']) as ext)")
+def file_redact(spark, sf_dir):
+    done = files.redact(_any(spark, sf_dir))
+    again = files.texts(done).select("path", F.col("text"))
+    return done.join(again, "path").select("path", "ext", "hits", F.when(F.col("error").isNull(), F.col("text")).alias("text"))
+
+
+@query("picture_list", "select concat('/', n_nationkey, '.', ext) as path, kind, n::bigint as n from nation, (select unnest(['pptx', 'pptx', 'ppt', 'ppt']) as ext, unnest(['png', 'jpg', 'png', 'bmp']) as kind, unnest([1, 1, 2, 1]) as n)")
+def picture_list(spark, sf_dir):
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        png = packages.blank_png()
+        other = png[:-12] + struct.pack(">I", 4) + b"tEXt" + b"abcd" + bytes(4) + png[-12:]
+        bmp = b"BM" + struct.pack("<IIII", 60, 0, 54, 40) + struct.pack("<II", 1, 1) + struct.pack("<HH", 1, 24) + bytes(30)
+        for batch in batches:
+            rows = []
+            for k in batch["n_nationkey"]:
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    z.writestr("ppt/media/a.png", png)
+                    z.writestr("ppt/media/b.bin", png)
+                    z.writestr("ppt/media/c.jpeg", b"\xff\xd8\xff\xe0abc\xff\xd9")
+                rows.append((f"/{k}.pptx", "pptx", out.getvalue()))
+                rows.append((f"/{k}.ppt", "ppt", compound({"Pictures": b"xx" + png + b"BM" + other + bmp + png, "PowerPoint Document": bytes(9)})))
+            yield pd.DataFrame(rows, columns=["path", "ext", "content"])
+
+    own = read(spark, sf_dir, "nation").select("n_nationkey").mapInPandas(make, "path string, ext string, content binary")
+    found = pictures.of_members(packages.members(own)).unionByName(pictures.of_compound(own.where("ext = 'ppt'")))
+    return pictures.summary(found).select("path", "kind", "n")

@@ -82,3 +82,49 @@ def of_name(name: str) -> dict[str, bytes]:
         "ppt": ppt([(0x0FA0, _wide(f"{name}\r마스터 텍스트 스타일을 편집합니다\r{CARD}")), (0x0FA8, f"한글 {PHONE}".encode("cp949")), (0x0FA9, b"zz")]),
         "hwp": hwp([f"{name}\x02漢 a", f"카드 {CARD}\r", f"{MAIL} 끝"], preview=f"{name} {CARD}"),
     }
+
+
+def pdf(pages: list[list[tuple[float, float, str]]], packed: bool = True) -> bytes:
+    """Pages of (x, y from below, text) in ten points: ASCII texts in a simple font, half as wide as high, others by 16-bit codes
+    with a map to Unicode; the last text of a page stands in a form."""
+    objects: list[bytes] = []
+
+    def put(body: bytes) -> int:
+        objects.append(body)
+        return len(objects)
+
+    def stream(info: bytes, data: bytes) -> int:
+        data = zlib.compress(data) if packed else data
+        return put(b"<<" + info + (b"/Filter/FlateDecode" if packed else b"") + b"/Length %d>>\nstream\n" % len(data) + data + b"\nendstream")
+
+    used = sorted({c for page in pages for _, _, t in page for c in t if not c.isascii()} | set(" 0123456789"))
+    code = {c: k + 1 for k, c in enumerate(used)}
+    table = b"1 begincodespacerange <0000> <FFFF> endcodespacerange\n%d beginbfchar\n" % len(used) + b"".join(b"<%04X> <%s>\n" % (k, c.encode("utf-16be").hex().encode()) for c, k in code.items()) + b"endbfchar"
+    unicode_map = stream(b"", table)
+    simple = put(b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding/FirstChar 32/LastChar 126/Widths[" + b"500 " * 95 + b"]>>")
+    under = put(b"<</Type/Font/Subtype/CIDFontType2/BaseFont/X/DW 500>>")
+    wide = put(b"<</Type/Font/Subtype/Type0/BaseFont/X/Encoding/Identity-H/DescendantFonts[%d 0 R]/ToUnicode %d 0 R>>" % (under, unicode_map))
+    fonts = b"/Font<</F1 %d 0 R/F2 %d 0 R>>" % (simple, wide)
+
+    def shown(x: float, y: float, text: str) -> bytes:
+        if text.isascii():
+            half = len(text) // 2
+            escape = lambda t: t.replace("\\", r"\\").replace("(", r"\(").replace(")", r"\)").encode()
+            return b"BT /F1 10 Tf 1 0 0 1 %g %g Tm [(%s) 0 (%s)] TJ ET\n" % (x, y, escape(text[:half]), escape(text[half:]))
+        return b"BT /F2 10 Tf %g %g Td <%s> Tj ET\n" % (x, y, b"".join(b"%04X" % code[c] for c in text))
+
+    kids = []
+    parent = len(objects) + 1 + 3 * len(pages)
+    for texts in pages:
+        form = stream(b"/Type/XObject/Subtype/Form/BBox[0 0 600 800]/Resources<<%s>>" % fonts, shown(*texts[-1]))
+        content = stream(b"", b"".join(shown(*t) for t in texts[:-1]) + b"q 1 0 0 1 0 0 cm /X1 Do Q\n")
+        kids.append(put(b"<</Type/Page/Parent %d 0 R/Contents %d 0 R/Resources<<%s/XObject<</X1 %d 0 R>>>>>>" % (parent, content, fonts, form)))
+    put(b"<</Type/Pages/MediaBox[0 0 600 800]/Count %d/Kids[%s]>>" % (len(pages), b" ".join(b"%d 0 R" % k for k in kids)))
+    root = put(b"<</Type/Catalog/Pages %d 0 R>>" % parent)
+    body = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k + 1, o) for k, o in enumerate(objects))
+    return body + b"trailer\n<</Root %d 0 R/Size %d>>\nstartxref\n0\n%%%%EOF\n" % (root, len(objects) + 1)
+
+
+def pdf_of_name(name: str) -> bytes:
+    """Two pages that tell what the other samples do."""
+    return pdf([[(50, 700, f"{name} (a)"), (50, 680, f"card {CARD}"), (50, 660, "한글 123")], [(50, 700, f"mail {MAIL} end"), (150, 640, "끝"), (50, 640, f"tel {PHONE}")]])
