@@ -49,7 +49,7 @@ def exposure(documents: DataFrame, matches: DataFrame, key: str = "doc_id", text
     corpus itself, not what the matches were made in, which would be made once more."""
     merged = union_ranges(matches.where("valid").select(key, "s", "e"), [key], "s", "e")
     sizes = documents.select(key, F.length(F.coalesce(text_col, F.lit(""))).alias("total_chars"))
-    part = F.greatest(F.lit(0), F.least(F.col("e"), F.col("total_chars")) - F.greatest(F.col("s"), F.lit(0)))
+    part = F.when(F.col("e").isNotNull(), F.greatest(F.lit(0), F.least(F.col("e"), F.col("total_chars")) - F.greatest(F.col("s"), F.lit(0))))
     return _share(sizes.join(merged, key, "left").groupBy(key, "total_chars").agg(F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("exposed_chars")))
 
 

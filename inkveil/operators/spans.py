@@ -94,13 +94,15 @@ def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def annotate(spans: Column, text: Column, as_of: datetime.date = validators.AS_OF, around: int = 20, own: Column | None = None) -> Column:
-    """Adds to each span whether it is valid, and the text around it; own: the text's blocks, if they are at hand."""
+def annotate(spans: Column, text: Column, as_of: datetime.date = validators.AS_OF, around: int = 20, own: Column | None = None, n: Column | None = None) -> Column:
+    """Adds to each span whether it is valid, and the text around it. own, n: the text's blocks and length, if they are at hand;
+    a lambda would count a long text for each of its spans."""
     own = F.array().cast("array<string>") if own is None else own
+    n = F.length(text) if n is None else n
     def one(x: Column) -> Column:
         valid = validators.is_valid(x["rule"], x["value"], as_of)
         first = F.greatest(x["start"] - around, F.lit(0))
-        last = F.least(x["end"] + around, F.length(text))
+        last = F.least(x["end"] + around, n)
         return F.struct(x["rule"].alias("rule"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), part(text, own, first, last - first).alias("context"), valid.alias("valid"))
 
     return F.transform(spans, one)
@@ -114,9 +116,9 @@ def explain(spans: Column, as_of: datetime.date = validators.AS_OF) -> Column:
 def annotated(df: DataFrame, text_col: str = "text", rules: list[str] | None = None, as_of: datetime.date = validators.AS_OF) -> DataFrame:
     """Adds spans: all candidates of the rules, checked, with context and reasons."""
     a = fixed(df, _text=F.coalesce(F.col(text_col), F.lit("")))
-    b = fixed(a, _candidates=candidates(F.col("_text"), select(rules)), _blocks=blocks(F.col("_text")))
-    c = fixed(b, _checked=annotate(F.col("_candidates"), F.col("_text"), as_of, own=F.col("_blocks")))
-    return fixed(c, spans=explain(F.col("_checked"), as_of)).drop("_text", "_candidates", "_blocks", "_checked")
+    b = fixed(a, _candidates=candidates(F.col("_text"), select(rules)), _blocks=blocks(F.col("_text")), _length=F.length("_text"))
+    c = fixed(b, _checked=annotate(F.col("_candidates"), F.col("_text"), as_of, own=F.col("_blocks"), n=F.col("_length")))
+    return fixed(c, spans=explain(F.col("_checked"), as_of)).drop("_text", "_candidates", "_blocks", "_length", "_checked")
 
 
 def overlap(a: Column, b: Column) -> Column:

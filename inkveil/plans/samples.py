@@ -64,11 +64,11 @@ def ppt(atoms: list[tuple[int, bytes]]) -> bytes:
 
 
 def hwp(paragraphs: list[str], flags: int = 1, preview: str = "") -> bytes:
-    """Paragraphs, the last one with its size in a number of its own."""
+    """Paragraphs, the last one and long ones with their size in a number of its own."""
     body = b""
     for k, text in enumerate(paragraphs):
         raw = _wide(text)
-        body += struct.pack("<I", 66) + (struct.pack("<II", 67 | (1 << 10) | (0xFFF << 20), len(raw)) if k == len(paragraphs) - 1 else struct.pack("<I", 67 | (1 << 10) | (len(raw) << 20))) + raw
+        body += struct.pack("<I", 66) + (struct.pack("<II", 67 | (1 << 10) | (0xFFF << 20), len(raw)) if k == len(paragraphs) - 1 or len(raw) >= 0xFFF else struct.pack("<I", 67 | (1 << 10) | (len(raw) << 20))) + raw
     pack = zlib.compressobj(6, zlib.DEFLATED, -15)
     data = pack.compress(body) + pack.flush() if flags & 1 else body
     return compound({"FileHeader": b"HWP Document File".ljust(36, b"\0") + struct.pack("<I", flags) + bytes(216), "BodyText/Section0": data, "PrvText": _wide(preview), "PrvImage": b"GIF89a" + bytes(30)})
