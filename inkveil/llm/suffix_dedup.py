@@ -40,8 +40,9 @@ from inkveil.llm.bwt import earlier
 from inkveil.llm.common import joined_split, shuffle_parts, small_batches, stored
 
 LENGTH = 100
-#: Bytes of segments that are merged at once, shards of such a batch, and segments of an anchor that a batch may hold.
-BATCH, SHARDS, GROUP = 2 << 20, 4, 32768
+#: Bytes of segments that are merged at once (whose places are numbers of 16 bits, which are counted in one pass), shards of
+#: such a batch, and segments of an anchor that a batch may hold, however long it becomes by them.
+BATCH, SHARDS, GROUP = 56_000, 4, 32768
 #: Occurrences of an anchor for a task, at least; anchors of too many segments up to which their list is broadcast.
 HOT, HOT_LIST = 20_000, 10_000
 _LAST = (1 << 63) - 1
@@ -98,18 +99,17 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2] - 1
 
 
-def repeated_runs(o: np.ndarray, s: np.ndarray, segments: list[bytes], length: int, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, first, last): the runs of windows' offsets in segments that start earlier in another of them."""
-    text = np.frombuffer(b"".join(segments), np.uint8)
-    sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+def repeated_runs(o: np.ndarray, s: np.ndarray, text: np.ndarray, sizes: np.ndarray, length: int, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first, last): the runs of windows' offsets in segments that start earlier in another of them. text: the
+    segments, of these sizes, one after the other."""
     begin = np.cumsum(sizes) - sizes
-    of = np.repeat(np.arange(len(segments)), sizes)
+    of = np.repeat(np.arange(len(sizes)), sizes)
     offset = np.arange(len(text)) - begin[of]
     window = offset <= (sizes - length)[of]
     # places of windows, in the order of documents and starts, by small numbers
     ranks = np.unique(o, return_inverse=True)[1]
     place = np.where(window, ranks[of] * (1 << 40) + s[of] + offset, -1)
-    step = max(1, -(-len(segments) // shards))
+    step = max(1, -(-len(sizes) // shards))
     mask = earlier(text, begin[::step].tolist(), length, place)
     first, last = _runs(mask)  # a run never spans segments: the end of each has no window
     return of[first], offset[first], offset[last]
@@ -118,26 +118,34 @@ def repeated_runs(o: np.ndarray, s: np.ndarray, segments: list[bytes], length: i
 def _merged(length: int, batch_bytes: int, shards: int):
     """(dk, s, a, b): of sorted rows (g, o, dk, s, seg), the windows of first occurrences that start earlier elsewhere."""
 
-    def solve(rows: dict[str, list]) -> pa.RecordBatch:
-        segment, a, b = repeated_runs(np.array(rows["o"], np.int64), np.array(rows["s"], np.int64), rows["seg"], length, shards)
-        dk, s = np.array(rows["dk"], np.int64)[segment], np.array(rows["s"], np.int32)[segment]
-        return pa.RecordBatch.from_arrays([pa.array(dk), pa.array((s + a).astype(np.int32)), pa.array((s + b).astype(np.int32))], ["dk", "s", "e"])
+    def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        texts = [_documents(p, "seg") for p in parts]
+        o, dk, s = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("o", "dk", "s"))
+        sizes = np.concatenate([np.diff(offsets) for _, offsets in texts])
+        segment, a, b = repeated_runs(o, s.astype(np.int64), np.concatenate([data for data, _ in texts]), sizes, length, shards)
+        return pa.RecordBatch.from_arrays([pa.array(dk[segment]), pa.array((s[segment] + a).astype(np.int32)), pa.array((s[segment] + b).astype(np.int32))], ["dk", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[str, list] = {c: [] for c in ("g", "o", "dk", "s", "seg")}
+        parts: list[pa.RecordBatch] = []
         size, last = 0, None
         for batch in batches:
-            for g, *rest in zip(*(batch.column(c).to_pylist() for c in rows), strict=True):
-                if size >= batch_bytes and g != last:
-                    yield solve(rows)
-                    rows = {c: [] for c in rows}
-                    size = 0
-                last = g
-                size += len(rest[-1])
-                for c, value in zip(rows, (g, *rest), strict=True):
-                    rows[c].append(value)
-        if size:
-            yield solve(rows)
+            if not batch.num_rows:
+                continue
+            g = batch.column("g").to_numpy(zero_copy_only=False)
+            ends = _documents(batch, "seg")[1]
+            starts = np.flatnonzero(g[1:] != g[:-1]) + 1
+            # batches end where an anchor does, once they are large enough
+            done = 0
+            for at in [0, *starts.tolist()] if last is None or g[0] != last else starts.tolist():
+                if size + ends[at] - ends[done] >= batch_bytes:
+                    parts.append(batch.slice(done, at - done))
+                    yield solve(parts)
+                    parts, size, done = [], 0, at
+            parts.append(batch.slice(done))
+            size += int(ends[-1] - ends[done])
+            last = g[-1]
+        if parts:
+            yield solve(parts)
 
     return run
 
@@ -167,30 +175,36 @@ def _again_rows(length: int, gram: int):
 
 def _cut_out(length: int):
     """(spans, kept) of (text, list): by level, of an even kind the runs of segments, of the odd one after it those that come
-    first; of kind -1 windows of these that start earlier elsewhere."""
+    first; of kind -1 windows of these that start earlier elsewhere. Runs of a level don't overlap in a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             data, offsets = _documents(batch)
-            spans, kept = [], []
-            for k, found in enumerate(batch.column("list").to_pylist()):
-                own = data[offsets[k] : offsets[k + 1]]
-                if not found:
-                    spans.append([])
-                    kept.append(own.tobytes())
-                    continue
-                change = np.zeros(len(own) + 1, np.int64)
-                first = {(x["s"], x["e"], x["kind"] - 1) for x in found if x["kind"] > 0 and x["kind"] % 2}
-                for s, e in {(x["s"], x["e"]) for x in found if x["kind"] < 0 or x["kind"] % 2 == 0 and (x["s"], x["e"], x["kind"]) not in first}:
-                    change[s] += 1
-                    change[e + length] -= 1
-                gone = np.cumsum(change[:-1]) > 0
-                a, b = _runs(gone)
-                spans.append([{"start": int(x), "end": int(y) + 1} for x, y in zip(a, b, strict=True)])
-                kept.append(own[~gone].tobytes())
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array((offsets[1:] - offsets[:-1])[:n]), pa.array(spans, kind), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
+            lists = batch.column("list")
+            found = lists.flatten()
+            doc = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            s, e, kind = (found.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("s", "e", "kind"))
+            key = ((doc << 4) + (kind >> 1)) * (1 << 40) + s
+            first = (kind > 0) & (kind % 2 == 1)
+            gone_rows = (kind < 0) | ((kind % 2 == 0) & ~np.isin(key, key[first]))
+            change = np.zeros(len(data) + 1, np.int32)
+            np.add.at(change, offsets[doc[gone_rows]] + s[gone_rows], 1)
+            np.add.at(change, offsets[doc[gone_rows]] + e[gone_rows] + length, -1)
+            gone = np.cumsum(change[:-1]) > 0
+            # runs of removed bytes end with their document
+            opens = np.concatenate([[True], ~gone[:-1]]) if len(gone) else gone
+            full = offsets[:-1][np.diff(offsets) > 0]
+            opens[full] = True
+            starts = np.flatnonzero(gone & opens)
+            closes = np.concatenate([opens[1:] | ~gone[1:], [True]]) if len(gone) else gone
+            ends = np.flatnonzero(gone & closes) + 1
+            of = np.searchsorted(offsets, starts, side="right") - 1
+            spans = pa.StructArray.from_arrays([pa.array(starts - offsets[of]), pa.array(ends - offsets[of])], ["start", "end"])
+            at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
+            left = np.concatenate([[0], np.cumsum(~gone)])[offsets]
+            kept = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(left.astype(np.int32).tobytes()), pa.py_buffer(data[~gone].tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(at), spans), kept], ["id", "n_bytes", "spans", "kept"])
 
     return run
 
