@@ -111,7 +111,7 @@ def oracle(containment: float = 0.8) -> str:
     word = r"[^\x20\x09-\x0D]+"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     split = lambda t, i: f"select {i}, regexp_extract_all({lower}, '{word}') as w from {t}"
-    grams = lambda w, k: f"list_transform(range(1, len({w}) - {k} + 2), j -> array_to_string({w}[j:j + {k} - 1], ' '))"
+    grams = lambda w, k: f"list_transform(range(1, len({w}) - {k} + 2), lambda j: array_to_string({w}[j:j + {k} - 1], ' '))"
     return f"""
     with items as (select distinct item_id, k, unnest({grams('w', 'k')}) as sh from (select item_id, w, least(len(w), 5) as k from ({split('benchmark', 'item_id')})) where k > 0),
     sizes as (select item_id, count(*) as n_shingles from items group by item_id),
