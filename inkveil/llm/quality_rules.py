@@ -7,8 +7,9 @@ mostly passes all other rules, so a single class of bad documents would cling to
 must pass them all. The loop runs on the driver over that bounded table; documents are read once for the votes.
 
 Defined results: a null or blank text has no words, fails the base rule and is not kept; an empty table gives no rows
-(the model then is the start); repeated rows count each time; other columns stay, and those that clash with a feature's
-name are taken under a private prefix by ``keep``.
+(the model then is the start); repeated rows count each time; very long texts are taken whole; a posterior of exactly one half
+is kept; a rule's bound itself votes as its expression says; other columns stay, and those that clash with a feature's name are
+taken within a struct by ``judge`` and ``keep``.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ for every context limit at once: how many documents and tokens exceed it, what a
 quantile the limit is. The histogram has a row for each distinct length, however many documents there are. Sums run
 over blocks of lengths, and over the totals of blocks, so no task gets more than a block.
 
-Defined results: a null or empty text has length 0; an empty table gives no rows; repeated rows count each time.
+Defined results: a null or empty text has length 0; an empty table gives no rows; repeated rows count each time; very
+long texts are encoded whole; texts of equal length share a row, so there are no ties; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
