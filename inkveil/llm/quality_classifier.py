@@ -2,7 +2,7 @@
 
 A document's own evidence comes from logistic regressions (good quality, and toxic) on its distinct words, hashed, and
 on its looks in steps. They are fitted on a bounded sample of labelled documents: SAMPLE at most, those of the smallest
-hashed ids, whole texts. The evidence is the log likelihood ratio: the regression's log odds less those of its sample.
+hashed ids, whole texts, and SAMPLE_BYTES of their features. The evidence is the log likelihood ratio: the regression's log odds less those of its sample.
 
 Hosts and paths have posteriors of their own. Over all documents, grouped by path and by host, good documents are counted
 (labels where there are any, else the regression's chance). A host's rate is shrunk to the rate of all, a path's to its
@@ -12,8 +12,9 @@ its own evidence. It is kept if good quality is the likelier and toxicity isn't.
 
 Defined results: null and blank texts count as texts without words; null hosts or paths are a site of their own; an empty
 table gives no rows; without labels the evidence is zero and all rates are one half; repeated rows count and return each
-time; labels repeated for an id count once, quality by the smaller, toxic by the larger; labels of null are ignored; extra
-columns are not read. Sites' counts are combined before they are shuffled, so the size of a host doesn't matter.
+time; labels repeated for an id count once, quality by the smaller, toxic by the larger; labels of null are ignored; very long
+texts are taken whole; of equal hashed ids the smaller id is in the sample; a probability of exactly one half counts as good, and
+as toxic; extra columns, whatever their names, are not read. Sites' counts are combined before they are shuffled, so the size of a host doesn't matter.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from inkveil.llm.common import cut, small_batches, stored
 
 #: Labelled documents to fit on, features, steps of the fit and its penalty.
 SAMPLE, FEATURES, STEPS, PENALTY = 20_000, 1 << 18, 250, 0.05
+#: Bytes of the sample's features that come to the driver; of a sample with more a share is taken that fits.
+SAMPLE_BYTES = 64 << 20
 #: Features count whose log likelihood ratio against the label reaches this (chance reaches it once in 500,000).
 SIGNIFICANT = 22.0
 #: Bounds of the estimated pseudo-counts; sites up to which their rates are broadcast (beyond it, joined by shuffle).
@@ -123,7 +126,12 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Evidence, Evidence]:
     """Evidence of good quality and of toxicity, from (id, text) and (id, quality, toxic)."""
     chosen = cut(labels.where("quality is not null or toxic is not null").orderBy(F.xxhash64("id"), "id").limit(sample))
-    found = docs.select("id", "text").join(F.broadcast(chosen), "id").select("text", "quality", "toxic").mapInArrow(_sampled, "features binary, quality int, toxic int").limit(2 * sample).collect()
+    found = docs.select("id", "text").join(F.broadcast(chosen), "id").select("text", "quality", "toxic").mapInArrow(_sampled, "features binary, quality int, toxic int").limit(2 * sample)
+    found = stored(found, "sample")
+    size = found.agg(F.sum(F.octet_length("features")).alias("n")).first()["n"] or 0
+    if size > SAMPLE_BYTES:  # a share of the labelled texts, by their content, that fits
+        found = found.where(F.pmod(F.xxhash64("features", "quality", "toxic"), F.lit(1 << 20)) < F.lit((1 << 20) * SAMPLE_BYTES // size))
+    found = found.collect()
     out = []
     for name in ("quality", "toxic"):
         own = sorted((r["features"], r[name]) for r in found if r[name] is not None)
