@@ -217,20 +217,29 @@ def _pair_links(lanes: int, radius: int):
     return run
 
 
+def _tile_pairs(tiles: DataFrame, deltas: list[int], parts: int) -> DataFrame:
+    """(_l, _r) of tiles (grp, cell, _sub, _t): each with itself (_r null), and with the others of cells at one of the differences.
+    Pairs are made of numbers first; then each tile goes to its pairs, so no task holds the tiles of a large cell."""
+    ids = tiles.select("grp", "cell", "_sub")
+    left = ids.select("grp", F.col("cell").alias("_c"), F.col("_sub").alias("_s"), F.explode(F.lit(sorted(deltas))).alias("_d")).withColumn("cell", F.col("_c") + F.col("_d"))
+    pairs = left.join(ids, ["grp", "cell"]).where((F.col("_d") != 0) | (F.col("_s") < F.col("_sub")))
+    firsts = tiles.select("grp", F.col("cell").alias("_c"), F.col("_sub").alias("_s"), F.col("_t").alias("_l"))
+    half = pairs.join(firsts, ["grp", "_c", "_s"]).select("grp", "cell", "_sub", "_l")
+    keys = ["grp", "cell", "_sub"]
+    both = half.repartition(parts, *keys).join(tiles.repartition(parts, *keys), keys).select("_l", F.col("_t").alias("_r"))
+    own = tiles.where(F.size("_t") > 1).repartition(parts, *keys).select(F.col("_t").alias("_l"), F.lit(None).cast(tiles.schema["_t"].dataType).alias("_r"))
+    return own.unionByName(both)
+
+
 def links(nodes: DataFrame, lanes: int, radius: int, deltas: list[int], tile: int = TILE) -> DataFrame:
     """(a, b): a spanning forest, by tile pair, of the links between the fingerprints of (fp, cell). deltas: cells of
     no more than these differences, 0 among them, are compared."""
     spark = nodes.sparkSession
-    parts = shuffle_parts(spark)
-    sizes = nodes.groupBy("cell").agg(F.count("*").alias("_n"))
-    dealt = nodes.join(sizes, "cell").withColumn("_sub", F.pmod(F.xxhash64("fp"), F.ceil(F.col("_n") / tile)).cast("int"))
-    tiles = dealt.groupBy("cell", "_sub").agg(F.collect_list("fp").alias("_fps"))
-    left = tiles.select(F.col("cell").alias("_c"), F.col("_sub").alias("_s"), F.col("_fps").alias("_l"), F.explode(F.lit(sorted(deltas))).alias("_d")).withColumn("cell", F.col("_c") + F.col("_d"))
-    own = tiles.select("cell", F.col("_fps").alias("_l"), F.lit(None).cast("array<binary>").alias("_r"), F.size("_fps").alias("_w"), F.col("_sub").alias("_k"), F.col("_sub").alias("_k2"))
-    pairs = left.join(tiles, "cell").where((F.col("_d") != 0) | (F.col("_s") < F.col("_sub"))).select("cell", "_l", F.col("_fps").alias("_r"), F.size("_fps").alias("_w"), F.col("_s").alias("_k"), F.col("_sub").alias("_k2"))
-    both = own.where("_w > 1").unionByName(pairs)
+    counts = nodes.groupBy("cell").agg(F.count("*").alias("n"))
+    dealt = joined_split(nodes, counts, "cell", ["fp"], 20_000).withColumn("_sub", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / tile)).cast("int"))
+    tiles = stored(dealt.groupBy("cell", "_sub").agg(F.collect_list("fp").alias("_t")).withColumn("grp", F.lit(0)), "tiles")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    return both.repartition(4 * parts, "cell", "_k", "_k2", "_w").select("_l", "_r").mapInArrow(_pair_links(lanes, radius), "a binary, b binary")
+    return _tile_pairs(tiles, deltas, 4 * shuffle_parts(spark)).mapInArrow(_pair_links(lanes, radius), "a binary, b binary")
 
 
 def block_links(nodes: DataFrame, lanes: int, radius: int, tile: int = TILE) -> DataFrame:
@@ -311,15 +320,14 @@ def _set_links(lanes: int, radius: int, similarity: float):
 def set_links(nodes: DataFrame, lanes: int, radius: int, similarity: float) -> DataFrame:
     """(a, b): a spanning forest, by tile pair, of the verified links that join two roots of a group, of (grp, cell, fp,
     root, h). Cells of a difference of 1 at most are compared."""
-    sizes = nodes.groupBy("grp", "cell").agg(F.greatest(F.count("*") / SET_TILE, F.sum(F.size("h")) / SET_SHINGLES).alias("_n"))
-    dealt = nodes.join(sizes, ["grp", "cell"]).withColumn("_sub", F.pmod(F.xxhash64("fp"), F.ceil("_n")).cast("int"))
-    tiles = dealt.groupBy("grp", "cell", "_sub").agg(F.collect_list(F.struct("fp", "root", "h")).alias("_t"))
-    left = tiles.select("grp", F.col("_sub").alias("_s"), F.col("_t").alias("_l"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_d"), (F.col("cell") + F.col("_d")).alias("cell"))
-    pairs = left.join(tiles, ["grp", "cell"]).where((F.col("_d") != 0) | (F.col("_s") < F.col("_sub"))).select("grp", "cell", "_d", "_s", "_sub", "_l", F.col("_t").alias("_r"))
-    own = tiles.where(F.size("_t") > 1).select("grp", "cell", F.lit(0).alias("_d"), F.col("_sub").alias("_s"), "_sub", F.col("_t").alias("_l"), F.lit(None).cast(tiles.schema["_t"].dataType).alias("_r"))
-    both = own.unionByName(pairs).repartition(4 * shuffle_parts(nodes.sparkSession), "grp", "cell", "_d", "_s", "_sub")
-    nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return both.select("_l", "_r").mapInArrow(_set_links(lanes, radius, similarity), "a binary, b binary")
+    spark = nodes.sparkSession
+    keyed = nodes.withColumn("_g", F.xxhash64("grp", "cell"))
+    counts = keyed.groupBy("_g").agg(F.count("*").alias("n"), F.sum(F.size("h")).alias("_w"))
+    share = F.greatest(F.col("n") / SET_TILE, F.col("_w") / SET_SHINGLES)
+    dealt = joined_split(keyed, counts, "_g", ["fp"], 2_000).withColumn("_sub", F.pmod(F.xxhash64("fp"), F.ceil(share)).cast("int"))
+    tiles = stored(dealt.groupBy("grp", "cell", "_sub").agg(F.collect_list(F.struct("fp", "root", "h")).alias("_t")), "set-tiles")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    return _tile_pairs(tiles, [0, 1], 4 * shuffle_parts(spark)).mapInArrow(_set_links(lanes, radius, similarity), "a binary, b binary")
 
 
 def connected(edges: DataFrame) -> DataFrame:
