@@ -61,6 +61,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 #: Lets Spark drop the shuffle files of a query as soon as it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextlib.contextmanager
+def shuffles_cleaned(spark: SparkSession):
+    """Queries that end inside leave no shuffle files."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 #: Tables that ``stored`` wrote, innermost scope last; those of no scope go when this process ends.
 _scopes: list[list[tuple]] = [[]]
 
@@ -102,12 +113,8 @@ def stored(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/inkveil-{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     _scopes[-2 if outer and len(_scopes) > 1 else -1].append((jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()))
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with shuffles_cleaned(spark):
         df.select("*").write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,20 +2,21 @@
 
 Tokens are the words of a text, A-Z lower-cased, and one end. A state emits a class, and a class its word:
 P(word | state) = P(class | state) * P(word | class). The second factor doesn't depend on the state, so training needs
-only the chances of classes: a fixed number of them, however large the vocabulary is. Words seen COMMON times or more
-have a class by the hash of the word, rarer ones by that of their last three bytes, which groups endings of a language;
-the end has its own, and so has the unknown: a word that training has not seen. Its chance is learnt by state from the
+only the chances of classes. Words seen COMMON times or more have a class by the hash of the word, rarer ones by that of their
+last three bytes, which groups endings of a language; the number of classes grows with the counted vocabulary (one for COMMON_A_CLASS
+common words and one for RARE_A_CLASS rare ones), up to MOST_WORDS and MOST_ENDINGS; the end has its own, and so has the unknown: a word that training has not seen. Its chance is learnt by state from the
 words that training has seen once, which a held-out text would not know (leaving one out), so no word has chance zero
 and the chances of all known words, the end and the unknown add up to one.
 
 Counts: the words of all training texts are counted over the cluster, all of them kept. Texts are dealt into blocks; a
 block asks for the counts of its own distinct words (by their rank in it, so answers need no words) and turns its texts
-into sequences of classes, stored once, two bytes a token. Each round of Baum-Welch reads them, adds up the expected counts of the block's sequences for STATES * classes numbers and
-sums those over the cluster. Forward and backward passes run over many texts at a time, one column each.
+into sequences of classes, stored once, four bytes a token. Each round of Baum-Welch reads them, adds up the expected counts of
+the block's sequences for STATES * classes numbers and sums those over the cluster, until a round gains less than TOLERANCE nats
+a token, or ROUNDS. Forward and backward passes run over many texts at a time, one column each.
 
 Defined results: a null or blank text is the end alone; an empty table gives no rows; without training rows every word is
-unknown and only the start of the model is used; repeated rows count each time; extra columns are not read; long texts
-are scored whole.
+unknown and only the start of the model is used; repeated rows count each time; extra columns, whatever their names, are
+not read; very long texts are scored whole; ties don't occur, as nothing is ranked.
 """
 
 from __future__ import annotations
@@ -30,15 +31,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import small_batches, stored
+from inkveil.llm.common import shuffles_cleaned, small_batches, stored
 
-STATES, ROUNDS = 6, 4
-#: Classes by word and by ending; words of this count or more have a class by word.
-BY_WORD, BY_ENDING, COMMON = 20480, 8192, 8
-END, UNKNOWN = BY_WORD + BY_ENDING, BY_WORD + BY_ENDING + 1
-CLASSES = BY_WORD + BY_ENDING + 2
+STATES, ROUNDS, TOLERANCE = 6, 6, 0.002
+#: Words of this count or more have a class by word; words that share a class, by their number. A round shuffles a row for each
+#: class and task, so there are fewer classes than words.
+COMMON, COMMON_A_CLASS, RARE_A_CLASS = 8, 32, 256
+#: The least and the most classes of words and of endings: the most bound what a round sends to the driver and back to 60 MB.
+LEAST, MOST_WORDS, MOST_ENDINGS = 4096, 1 << 20, 1 << 18
 #: In stored sequences: the word was seen once in training (there it stands for the unknown).
-ONCE = 0x8000
+ONCE = 1 << 31
+
+
+@dataclass(frozen=True)
+class Classes:
+    """Classes by word, by ending, the end and the unknown, numbered in this order."""
+
+    by_word: int = LEAST
+    by_ending: int = LEAST
+
+    @property
+    def end(self) -> int:
+        return self.by_word + self.by_ending
+
+    @property
+    def unknown(self) -> int:
+        return self.end + 1
+
+    @property
+    def n(self) -> int:
+        return self.end + 2
+
+
+def classes_for(common: int, rare: int) -> Classes:
+    """For so many common and rare words: the next powers of two."""
+    fit = lambda n, most: min(max(1 << max(n - 1, 0).bit_length(), LEAST), most)
+    return Classes(fit(common // COMMON_A_CLASS, MOST_WORDS), fit(rare // RARE_A_CLASS, MOST_ENDINGS))
+
+
 #: The token of the end in the table of counts; no word holds a line feed.
 END_WORD = b"\n"
 #: Characters of texts of a block; tokens that are passed through at once.
@@ -52,9 +82,9 @@ def held_out(ident: Column) -> Column:
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def class_column(word: Column, count: Column) -> Column:
+def class_column(word: Column, count: Column, classes: Classes) -> Column:
     ending = F.substring(word, F.greatest(F.octet_length(word) - 2, F.lit(1)), F.lit(3))
-    return F.when(word == F.lit(END_WORD), F.lit(END)).when(count >= COMMON, F.crc32(word) % BY_WORD).otherwise(BY_WORD + F.crc32(ending) % BY_ENDING).cast("int")
+    return F.when(word == F.lit(END_WORD), F.lit(classes.end)).when(count >= COMMON, F.crc32(word) % classes.by_word).otherwise(classes.by_word + F.crc32(ending) % classes.by_ending).cast("int")
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,19 +118,19 @@ def _requests(block: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([block["block"][0].as_py()] * len(words), pa.int32()), "rank": pa.array(range(len(words)), pa.int32()), "word": pa.array(words, pa.binary())})
 
 
-def _encoder(total: int, distinct: int, ends: int, masses: np.ndarray):
+def _encoder(total: int, distinct: int, ends: int, masses: np.ndarray, classes_: Classes):
     """Texts of a block and the counts of its words, to class sequences and the parts of the scores outside the states."""
     scale = math.log10(total + 0.1 * (distinct + 1))
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         rank = {w: k for k, w in enumerate(_distinct(texts["text"]))}
-        count, kind = np.zeros(len(rank), np.int64), np.full(len(rank), UNKNOWN, np.int64)
+        count, kind = np.zeros(len(rank), np.int64), np.full(len(rank), classes_.unknown, np.int64)
         at = answers["rank"].to_numpy()
         count[at], kind[at] = answers["c"].to_numpy(), answers["class"].to_numpy()
         base = np.log10(count + 0.1) - scale
         inner = np.where(count > 0, np.log10(count + 0.1) - np.log10(masses[kind]), 0.0)
-        codes = (kind + np.where(count == 1, ONCE, 0)).astype("<u2")
-        end = np.array([END], "<u2").tobytes()
+        codes = (kind + np.where(count == 1, ONCE, 0)).astype("<u4")
+        end = np.array([classes_.end], "<u4").tobytes()
         n_tokens, n_known, base_score, inside, classes = [], [], [], [], []
         for text in texts["text"].cast(pa.binary()).to_pylist():
             own = np.fromiter(map(rank.__getitem__, text.lower().split()), np.int64)
@@ -123,11 +153,11 @@ class Model:
     emit: np.ndarray
 
 
-def start(states: int = STATES, seed: int = 7) -> Model:
+def start(classes: Classes, states: int = STATES, seed: int = 7) -> Model:
     """States that differ by chance in each class and mostly stay. Chances of classes are up to a factor that all states
     share, which training doesn't feel; ``fit`` always ends with real ones."""
     rng = np.random.default_rng(seed)
-    emit = np.exp(rng.normal(0, 0.7, (CLASSES, states)))
+    emit = np.exp(rng.normal(0, 0.7, (classes.n, states)))
     move = np.full((states, states), 0.02 / max(states - 1, 1))
     np.fill_diagonal(move, 0.98 if states > 1 else 1.0)
     return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
@@ -177,9 +207,9 @@ def forward(model: Model, group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
     return logs, alpha, (emit, scale, laid)
 
 
-def expected(model: Model, group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of a group: (first, move, emit)."""
-    _, alpha, (emit, scale, (tokens, offsets, live)) = forward(model, group)
+def expected(model: Model, group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of a group, (first, move, emit), and its log likelihood."""
+    logs, alpha, (emit, scale, (tokens, offsets, live)) = forward(model, group)
     states = len(model.first)
     move = np.zeros((states, states))
     beta = np.ones((live[-1], states))
@@ -195,29 +225,33 @@ def expected(model: Model, group: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     if live[0] > len(beta):
         beta = np.concatenate([beta, np.ones((live[0] - len(beta), states))])
     alpha[: live[0]] *= beta
-    counts = np.stack([np.bincount(tokens, weights=alpha[:, k], minlength=CLASSES) for k in range(states)], axis=1)
-    return alpha[: live[0]].sum(axis=0), move * model.move, counts
+    counts = np.stack([np.bincount(tokens, weights=alpha[:, k], minlength=len(model.emit)) for k in range(states)], axis=1)
+    return alpha[: live[0]].sum(axis=0), move * model.move, counts, float(logs.sum())
 
 
-def _expectation(model: Model):
-    """Rows (class, e0..): a task's expected counts of classes; classes -1 and below: first, then moves by state."""
+def _expectation(model: Model, classes: Classes):
+    """Rows (class, e0..): a task's expected counts of classes; classes -1 and below: first, moves by state, and the log likelihood
+    with the number of tokens."""
     states = len(model.first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES, states))
+        first, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((classes.n, states))
+        told = np.zeros((1, states + 1))
 
         def sequences() -> Iterator[np.ndarray]:
             for batch in batches:
                 for raw in batch.column("classes").to_pylist():
-                    x = np.frombuffer(raw, "<u2").astype(np.int64)
-                    yield np.where(x >= ONCE, UNKNOWN, x)
+                    x = np.frombuffer(raw, "<u4").astype(np.int64)
+                    yield np.where(x >= ONCE, classes.unknown, x)
 
         for group in _groups(sequences()):
-            for to, own in zip((first, move, emit), expected(model, group), strict=True):
-                to += own
+            *own, logs = expected(model, group)
+            for to, more in zip((first, move, emit), own, strict=True):
+                to += more
+            told[0, :2] += logs, sum(map(len, group))
         used = np.flatnonzero(emit.sum(axis=1))
-        rows = np.concatenate([emit[used], first[None, :], move])
-        names = np.concatenate([used, -1 - np.arange(states + 1)]).astype(np.int32)
+        rows = np.concatenate([emit[used], first[None, :], move, told[:, :states]])
+        names = np.concatenate([used, -1 - np.arange(states + 2)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(rows[:, k]) for k in range(states)]], ["class", *[f"e{k}" for k in range(states)]])
 
     return run
@@ -233,18 +267,27 @@ def maximise(first: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
     return Model(first / first.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def fit(encoded: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> Model:
-    """Baum-Welch over the stored training sequences; to the driver come CLASSES + states + 1 rows a round."""
-    model = start(states)
+def fit(encoded: DataFrame, classes: Classes, rounds: int = ROUNDS, states: int = STATES, tolerance: float = TOLERANCE) -> Model:
+    """Baum-Welch over the stored training sequences, until a round gains little; to the driver come a row for each class and some
+    more a round."""
+    model = start(classes, states)
     names = [f"e{k}" for k in range(states)]
+    before = None
     for _ in range(max(rounds, 1)):
-        found = encoded.select("classes").mapInArrow(_expectation(model), "class int, " + ", ".join(f"{x} double" for x in names))
-        rows = np.array([tuple(r) for r in found.groupBy("class").agg(*[F.sum(x).alias(x) for x in names]).collect()], float).reshape(-1, states + 1)
-        emit, rest = np.zeros((CLASSES, states)), np.zeros((states + 1, states))
-        kind = rows[:, 0].astype(int)
-        emit[kind[kind >= 0]] = rows[kind >= 0, 1:]
-        rest[-1 - kind[kind < 0]] = rows[kind < 0, 1:]
-        model = maximise(rest[0], rest[1:], emit)
+        found = encoded.select("classes").mapInArrow(_expectation(model, classes), "class int, " + ", ".join(f"{x} double" for x in names))
+        with shuffles_cleaned(encoded.sparkSession):
+            sums = found.groupBy("class").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+        kind = sums["class"].to_numpy()
+        rows = np.stack([sums[x].to_numpy() for x in names], axis=1).reshape(-1, states)
+        emit, rest = np.zeros((classes.n, states)), np.zeros((states + 2, states))
+        emit[kind[kind >= 0]] = rows[kind >= 0]
+        rest[-1 - kind[kind < 0]] = rows[kind < 0]
+        model = maximise(rest[0], rest[1 : states + 1], emit)
+        logs, tokens = rest[states + 1, 0], rest[states + 1, min(1, states - 1)]
+        if before is not None and logs - before < tolerance * tokens:
+            break
+        # the start's chances are none of whole words, so its likelihood isn't compared
+        before = logs if before is not None else -np.inf
     return model
 
 
@@ -253,7 +296,7 @@ def _scorer(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.frombuffer(x, "<u2").astype(np.int64) & (ONCE - 1) for x in batch.column("classes").to_pylist()]
+            raw = [np.frombuffer(x, "<u4").astype(np.int64) & (ONCE - 1) for x in batch.column("classes").to_pylist()]
             order = sorted(range(len(raw)), key=lambda k: -len(raw[k]))
             logs = np.zeros(len(raw))
             at = 0
@@ -280,19 +323,21 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout
     blocks = max(1, -(-chars // block_chars))
     found = docs.where(~F.col("held_out")).select("text").mapInArrow(_word_counts, "word binary, n long")
     counts = found.groupBy("word").agg(F.sum("n").alias("c"))
-    counts = stored(counts.withColumn("class", class_column(F.col("word"), F.col("c"))), "words")
-    sums = counts.agg(F.sum("c").alias("total"), F.count("*").alias("distinct"), F.max(F.when(F.col("class") == END, F.col("c"))).alias("ends")).first()
+    counts = stored(counts, "words")
+    sums = counts.agg(F.sum("c").alias("total"), F.count("*").alias("distinct"), F.max(F.when(F.col("word") == F.lit(END_WORD), F.col("c"))).alias("ends"), F.count_if(F.col("c") >= COMMON).alias("common")).first()
     total, distinct, ends = sums["total"] or 0, sums["distinct"], sums["ends"] or 0
-    masses = np.ones(CLASSES)
-    for r in counts.groupBy("class").agg(F.sum(F.col("c") + 0.1).alias("m")).collect():
-        masses[r["class"]] = r["m"]
+    classes = classes_for(sums["common"], distinct - sums["common"])
+    counts = counts.withColumn("class", class_column(F.col("word"), F.col("c"), classes))
+    masses = np.ones(classes.n)
+    found = counts.groupBy("class").agg(F.sum(F.col("c") + 0.1).alias("m")).toArrow()
+    masses[found["class"].to_numpy()] = found["m"].to_numpy()
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     asked = dealt.select("block", "text").groupBy("block").applyInArrow(_requests, "block int, rank int, word binary")
     answers = stored(asked.join(counts, "word").select("block", "rank", F.col("c").cast("int").alias("c"), "class"), "answers")
     kind = dict(docs.dtypes)["id"]
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"
-    encoded = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_encoder(total, distinct, ends, masses), schema)
+    encoded = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_encoder(total, distinct, ends, masses, classes), schema)
     encoded = stored(encoded, "sequences")
-    model = fit(encoded.where(~F.col("held_out")), rounds, states)
+    model = fit(encoded.where(~F.col("held_out")), classes, rounds, states)
     out = encoded.mapInArrow(_scorer(model), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
