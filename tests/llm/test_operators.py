@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -415,6 +416,29 @@ def test_connected_chain(spark):
 # --- 10 -------------------------------------------------------------------------------------------------------------------
 
 
+def test_merged_transforms():
+    """Order, interleave and repeated intervals of merged shards, against sorting whole windows; zero bytes among them."""
+    import random
+
+    from inkveil.llm import bwt
+
+    rng = random.Random(1)
+    for trial in range(200):
+        n, letters = rng.randint(1, 300), rng.choice([1, 2, 3, 20])
+        text = np.array([rng.randrange(letters) + (97 if trial % 3 else 0) for _ in range(n)], np.uint8)
+        if trial % 2 and n > 100:
+            text[n // 2 : n // 2 + n // 3] = text[: n // 3]
+        bounds, depth = sorted({0, *(rng.randrange(n) for _ in range(rng.randint(0, 4)))}), rng.choice([5, 8, 13, 33, 100])
+        ends = [*bounds[1:], n]
+        windows = {p: text[p : p + depth].tobytes() for a, b in zip(bounds, ends, strict=True) for p in range(a, b - depth + 1)}
+        order, which, common = bwt.merge(text, bounds, depth)
+        assert sorted(order) == list(range(n)) and (np.searchsorted(bounds, order, side="right") - 1 == which).all()
+        in_order = [windows[p] for p in order.tolist() if p in windows]
+        assert in_order == sorted(in_order)
+        block = dict(zip(order.tolist(), np.cumsum(common < depth).tolist(), strict=True))
+        assert len({(w, block[p]) for p, w in windows.items()}) == len(set(windows.values())) == len({block[p] for p in windows})
+
+
 def test_suffix_dedup(docs, rows, none):
     seen, want = {}, {}
     order = sorted({(r.doc_id is None, r.doc_id or 0, r.text or "") for r in rows})
@@ -441,7 +465,7 @@ def test_suffix_dedup(docs, rows, none):
 def test_hmm_forward_is_exact():
     rng = np.random.default_rng(3)
     k = 3
-    emit = np.zeros((hmm.CLASSES, k))
+    emit = np.zeros((hmm.Classes().n, k))
     emit[:4] = rng.random((4, k))
     model = hmm.Model(np.array([0.5, 0.3, 0.2]), rng.dirichlet(np.ones(k), k), emit / emit.sum(axis=0))
     group = [np.array([0, 1, 2, 3, 1]), np.array([3, 3]), np.array([1])]
@@ -459,12 +483,18 @@ def test_hmm_forward_is_exact():
 
     assert np.allclose(hmm.forward(model, group)[0], [math.log(total(x)) for x in group])
     before = hmm.forward(model, group)[0].sum()
-    first, move, counts = hmm.expected(model, group)
+    first, move, counts, logs = hmm.expected(model, group)
+    assert np.isclose(logs, before)
     assert np.isclose(first.sum(), 3) and np.isclose(move.sum(), 5) and np.isclose(counts.sum(), 8)
     better = hmm.Model(first / first.sum(), move / move.sum(axis=1, keepdims=True), counts / counts.sum(axis=0))
     assert hmm.forward(better, group)[0].sum() >= before
 
 
+def test_classes_grow_with_the_vocabulary():
+    sizes = [hmm.classes_for(n, 20 * n) for n in (0, 200_000, 600_000, 40_000_000)]
+    assert [c.by_word for c in sizes] == [4096, 8192, 32_768, 1_048_576] and all(a.n < b.n for a, b in zip(sizes, sizes[1:], strict=False))
+
+
 def test_lm_scores(docs, rows, none):
     out = hmm.score(docs, rounds=2, block_chars=60000).collect()
     held = {r.doc_id: zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 10 == 0 for r in rows}
@@ -502,6 +532,90 @@ def test_site_rates_shrink(spark):
     assert out["a"].path_rate > 0.9 and out["b"].path_rate < 0.1 and out["c"].path_rate < 1
 
 
+def test_site_rates_match_brute_force(spark):
+    """Rates by shrinkage, against the same sums in Python."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(h := f"h{rng.randrange(6)}", f"{h}/{rng.randrange(5)}", min(1.0, max(0.0, rng.gauss(0.2 + 0.1 * int(h[1]), 0.3)))) for _ in range(900)]
+    rows += [("sparse", "sparse/0", 1.0)]
+    got = {r.path: (r.host_rate, r.path_rate) for r in quality_classifier.site_rates(spark.createDataFrame(rows, "host string, path string, v double"), "v").collect()}
+
+    def strength(groups):  # (n, s, rate above)
+        w = sum(n for n, _, _ in groups)
+        between = (sum(n * (s / n - m) ** 2 for n, s, m in groups) - sum(m * (1 - m) for _, _, m in groups)) / w
+        if between <= 0:
+            return quality_classifier.STRONGEST
+        return min(max(sum(n * m * (1 - m) for n, _, m in groups) / w / between - 1, quality_classifier.WEAKEST), quality_classifier.STRONGEST)
+
+    sums, hosts = {}, {}
+    for h, p, v in rows:
+        for to, key in ((sums, (h, p)), (hosts, h)):
+            n, s = to.get(key, (0, 0.0))
+            to[key] = n + 1, s + v
+    overall = (sum(s for _, s in sums.values()) + 1) / (len(rows) + 2)
+    k = strength([(n, s, overall) for n, s in hosts.values()])
+    host_rate = {h: (s + k * overall) / (n + k) for h, (n, s) in hosts.items()}
+    k = strength([(n, s, host_rate[h]) for (h, _), (n, s) in sums.items()])
+    want = {p: (host_rate[h], (s + k * host_rate[h]) / (n + k)) for (h, p), (n, s) in sums.items()}
+    assert got.keys() == want.keys() and all(np.allclose(got[p], want[p]) for p in want)
+
+
+def test_expectation_maximisation_matches_brute_force():
+    """Each round's shares and chances, summed document by document; the likelihood with its prior never falls."""
+    import random
+
+    rng = random.Random(8)
+    n_rules = len(quality_rules.RULES)
+    patterns = ["".join("1" if rng.random() < 0.9 else rng.choice("02") for _ in range(n_rules)) for _ in range(300)] + ["0" + "1" * (n_rules - 1)] * 40 + ["1" * (n_rules - 1) + "0"] * 25
+    counts = Counter(patterns)
+    model, first = quality_rules.start(), quality_rules.start()
+    for rounds in range(1, 6):
+        seen = [quality_rules.SEEN * s for s in first.shares]
+        voted = [[quality_rules.SEEN] * n_rules for _ in first.shares]
+        against = [[quality_rules.SEEN * q for q in own] for own in first.bad]
+        for pattern in patterns:
+            weights = []
+            for share, own in zip(model.shares, model.bad, strict=True):
+                p = share
+                for vote, q in zip(pattern, own, strict=True):
+                    p *= {"0": q, "1": 1 - q, "2": 1.0}[vote]
+                weights.append(p)
+            for c, w in enumerate(weights):
+                w /= sum(weights)
+                seen[c] += w
+                for k, vote in enumerate(pattern):
+                    if vote != "2":
+                        voted[c][k] += w
+                        against[c][k] += w * (vote == "0")
+        bad = [[a / v for a, v in zip(x, y, strict=True)] for x, y in zip(against, voted, strict=True)]
+        bad[0] = [min(x, quality_rules.MOST_ERRS) for x in bad[0]]
+        model = quality_rules.LabelModel([x / (len(patterns) + quality_rules.SEEN) for x in seen], bad)
+        own = quality_rules.fit_counts(dict(counts), rounds)
+        assert np.allclose(own.shares, model.shares) and np.allclose(own.bad, model.bad)
+
+
+@pytest.mark.parametrize("name", ["quality_features", "url_rules", "unigram_base", "op8_decontamination"])
+def test_queries_against_sql(spark, sf, name):
+    import os
+
+    import duckdb
+
+    from inkveil.llm import queries
+
+    con = duckdb.connect()
+    for file in os.listdir(sf):
+        con.execute(f"create view {file.removesuffix('.parquet')} as select * from '{sf}/{file}'")
+    df = queries.queries()[name](spark, sf)
+    cursor = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    columns = sorted(df.columns)
+    assert sorted(names) == columns
+    plain = lambda v: round(v, 3) if isinstance(v, float) else v
+    key = lambda r: [str(v) for v in r]
+    assert sorted(([plain(r[c]) for c in columns] for r in df.collect()), key=key) == sorted(([plain(r[names.index(c)]) for c in columns] for r in cursor.fetchall()), key=key)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
