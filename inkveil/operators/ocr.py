@@ -171,6 +171,16 @@ def entities_on_blocks(spans: DataFrame, blocks: DataFrame, keys: list[str], mat
     return one.withColumn("_k", first).where("_k = 1").select(*keys, F.upper("label").alias("label"), "text", *BOX)
 
 
+def sensitive_boxes(blocks: DataFrame, keys: list[str], tolerance: float = 10.0, as_of: datetime.date = validators.AS_OF) -> DataFrame:
+    """(keys, kind, value, box) of what an image shows: blocks whose readings hold a rule's valid match, and addresses, telephone and
+    card numbers that go over blocks of a line. Each value and box once."""
+    alone = blocks.withColumn("_x", first_rule(candidate_texts(F.col("text")), as_of=as_of)).where("_x is not null")
+    alone = alone.select(*keys, F.col("_x.rule").alias("kind"), F.col("_x.value").alias("value"), *[F.col(c).cast("double").alias(c) for c in BOX])
+    lines = group_lines(blocks, keys, tolerance)
+    joined = joined_emails(lines, keys).unionByName(joined_phones(lines, keys, as_of)).unionByName(joined_cards(lines, keys))
+    return alone.unionByName(joined.select(*keys, "kind", "value", *[F.col(c).cast("double").alias(c) for c in BOX])).distinct()
+
+
 def kind_counts(rows: DataFrame, keys: list[str], kind: str = "kind") -> DataFrame:
     """How many blocks or images there are of each kind."""
     return rows.groupBy(*keys, F.coalesce(F.col(kind), F.lit("none")).alias("kind")).agg(F.count("*").alias("n"))

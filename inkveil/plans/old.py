@@ -7,6 +7,7 @@ import struct
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from inkveil.operators import tables
 from inkveil.plans import samples
 from inkveil.plans.queries import query, read
 from inkveil.plans.samples import CARD, MAIL, PHONE
-from inkveil.sources import files, legacy, packages, pdf, pictures
+from inkveil.sources import files, legacy, packages, pdf, pictures, raster
 from inkveil.sources.compound import compound
 
 
@@ -149,3 +150,42 @@ def picture_list(spark, sf_dir):
     own = read(spark, sf_dir, "nation").select("n_nationkey").mapInPandas(make, "path string, ext string, content binary")
     found = pictures.of_members(packages.members(own)).unionByName(pictures.of_compound(own.where("ext = 'ppt'")))
     return pictures.summary(found).select("path", "kind", "n")
+
+
+@query("pdf_targets", f"select concat('/', n_nationkey, '.pdf') as path, page, value, x0, x1 from (select n_nationkey, 1 as page, n_name as value, 50.0 as x0, 50.0 + 5 * length(n_name) as x1 from nation union all select n_nationkey, 2, 'Tel {PHONE}', 50.0, 65.0 from nation union all select n_nationkey, 2, 'Tel {PHONE}', 70.0, 135.0 from nation union all select n_nationkey, 1, '한 글123', 50.0, 60.0 from nation union all select n_nationkey, 1, '한 글123', 65.0, 80.0 from nation)")
+def pdf_targets(spark, sf_dir):
+    own = read(spark, sf_dir, "nation").select(F.concat(F.lit("/"), "n_nationkey", F.lit(".pdf")).alias("path"), F.explode(F.array("n_name", F.lit(f"Tel {PHONE}"), F.lit("한 글123"), F.lit("zz"))).alias("value"))
+    return pdf.target_boxes(pdf.words(_pdfs(spark, sf_dir)), own).select("path", "page", "value", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"))
+
+
+def _drawn(spark, sf_dir):
+    """A picture of 40 by 20 grey points for each nation."""
+    points = np.full((20, 40, 3), 128, np.uint8)
+    content = raster.write(points, {"kind": "png", "chunks": [], "colour": 2})
+    return read(spark, sf_dir, "nation").select(F.concat(F.lit("/"), "n_nationkey").alias("path"), F.lit("a.png").alias("name"), F.lit(content).alias("content"))
+
+
+def _points(content):
+    """The number of black points of a picture, and how many it has."""
+    @F.pandas_udf("struct<black: long, n: long>")
+    def count(batch: pd.Series) -> pd.DataFrame:
+        read_ = [raster.read(c)[0] for c in batch]
+        return pd.DataFrame({"black": [int((p == 0).all(axis=2).sum()) for p in read_], "n": [p.shape[0] * p.shape[1] for p in read_]})
+
+    return count(content)
+
+
+@query("picture_redact", "select concat('/', n_nationkey) as path, 1 as hits, 200::bigint as black, 800::bigint as n from nation")
+def picture_redact(spark, sf_dir):
+    own = _drawn(spark, sf_dir)
+    block = lambda i, t, x: F.struct(F.lit(i).alias("id"), F.lit(t).alias("text"), F.lit(x).alias("x0"), F.lit(5.0).alias("y0"), F.lit(x + 10).alias("x1"), F.lit(15.0).alias("y1"))
+    blocks = own.select("path", "name", F.inline(F.array(block(0, "010-1234-", 0.0), block(1, "5678", 10.0), block(2, "words", 30.0))))
+    done = pictures.redact(own, blocks)
+    return done.withColumn("p", _points(F.col("content"))).select("path", "hits", "p.black", "p.n")
+
+
+@query("picture_preview", "select concat('/', n_nationkey) as path, 50::bigint as n, true as same from nation")
+def picture_preview(spark, sf_dir):
+    own = _drawn(spark, sf_dir)
+    small, same = raster.shrink(F.col("content"), 10)["content"], raster.shrink(F.col("content"), 40)["content"]
+    return own.select("path", _points(small)["n"].alias("n"), (same == F.col("content")).alias("same"))

@@ -73,7 +73,7 @@ def _run(part: str, streams: dict[str, bytes], segments: list[Segment], sheet: s
 
 
 def word(file: Compound) -> Iterator[tuple]:
-    """The pieces of a Word document as one text, then the series of charts in it."""
+    """The pieces of a Word document as one text, then the series of charts in it, and the texts of their drawings."""
     main = file.read("WordDocument")
     if len(main) < 0x1AA or main[:2] != b"\xec\xa5":
         raise Broken("no Word document")
@@ -107,6 +107,27 @@ def word(file: Compound) -> Iterator[tuple]:
                     yield _run("chart", {path: book}, [_short_string(path, book, a + 2, a + size, "cp949")])
 
 
+    for path in sorted(file.streams):
+        if path.startswith("ObjectPool/") and path.endswith("EPRINT"):
+            drawing = file.read(path)
+            for kind, a, size in drawing_records(drawing):
+                if kind in (0x53, 0x54) and size >= 76:
+                    n, at = struct.unpack_from("<II", drawing, a + 44)
+                    width = kind - 0x52
+                    yield _run("drawing", {path: drawing}, [(path, a + at, max(0, min(n * width, size - at)), "utf-16le" if width == 2 else "cp949")])
+
+
+def drawing_records(data: bytes) -> Iterator[tuple[int, int, int]]:
+    """(kind, offset, bytes) of a drawing's records, heads included."""
+    at = 0
+    while at + 8 <= len(data):
+        kind, size = struct.unpack_from("<II", data, at)
+        if size < 8 or at + size > len(data):
+            return
+        yield kind, at, size
+        at += size
+
+
 def records(book: bytes) -> Iterator[tuple[int, int, int]]:
     """(kind, offset of the payload, its bytes) of a workbook's records."""
     at = 0
@@ -343,7 +364,7 @@ def texts(found: DataFrame) -> DataFrame:
     """(path, ext, text) of runs: of a DOC normalised, of an XLS cells with strings, then headers and text boxes, of a PPT without the
     noise of its master, of an HWP paragraph by paragraph cleaned."""
     order = F.when(F.col("part") == "header", 1).when(F.col("part") == "textbox", 2).when(F.col("part") == "chart", 1).otherwise(0)
-    shown = found.where(F.col("text").isNotNull() & ~F.col("part").isin("number", "shared"))
+    shown = found.where(F.col("text").isNotNull() & ~F.col("part").isin("number", "shared", "drawing"))
     part = F.when(F.col("ext") == "hwp", clean_hwp(F.col("text"))).when(F.col("part") == "chart", F.trim("text")).otherwise(F.col("text"))
     lists = shown.withColumn("_o", order).withColumn("_t", part).where((F.col("_t") != "") | (F.col("ext") == "hwp")).groupBy("path", "ext").agg(F.sort_array(F.collect_list(F.struct("_o", "k", "_t"))).alias("_l"))
     joined = F.array_join(F.transform("_l", lambda x: x["_t"]), "\n")
@@ -368,7 +389,8 @@ def masked(raw: Column, at: Column, found: Column, policy: dict[str, str] | None
 
 def redacted_runs(found: DataFrame, policy: dict[str, str] | None = None, as_of: datetime.date = validators.AS_OF) -> DataFrame:
     """(path, ext, k, text, new, segments, hits, values) of the runs that hold a valid match. DOC and HWP texts are matched in their
-    normalised or cleaned form; a chart's series with a match is masked as a whole."""
+    normalised or cleaned form; a text of a chart or its drawing with a match
+    is masked as a whole."""
     own = found.where(F.col("text").isNotNull() & (F.size("segments") > 0)).dropDuplicates(["path", "segments"])
     indexed = F.when(F.col("ext") == "hwp", clean_hwp_indexed("text")).otherwise(normalize_indexed("text"))
     whole = F.struct(F.col("text").alias("text"), F.sequence(F.lit(0), F.length("text") - 1).alias("at"))
@@ -377,7 +399,7 @@ def redacted_runs(found: DataFrame, policy: dict[str, str] | None = None, as_of:
     checked = spans.annotated(own, "_n", as_of=as_of)
     valid = F.filter(spans.filter_overlapping(F.col("spans")), lambda s: s["valid"])
     hits = spans.fixed(checked, _v=valid).where(F.size("_v") > 0)
-    new = F.when(F.col("part") == "chart", F.repeat(F.lit("*"), F.length("text"))).otherwise(masked(F.col("text"), F.col("_x.at"), F.col("_v"), policy))
+    new = F.when(F.col("part").isin("chart", "drawing"), F.repeat(F.lit("*"), F.length("text"))).otherwise(masked(F.col("text"), F.col("_x.at"), F.col("_v"), policy))
     return hits.select("path", "ext", "k", "text", new.alias("new"), "segments", F.size("_v").alias("hits"), F.transform("_v", lambda s: s["value"]).alias("values"))
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import validators
+from inkveil.functions.text import find_target
 from inkveil.operators import geometry, spans
 from inkveil.sources.compound import Broken
 
@@ -577,6 +578,19 @@ def boxes(found: DataFrame, rules: list[str] | None = None, as_of: datetime.date
     return each.where((F.col("offs") < F.col("e")) & (F.col("offs") + n > F.col("s"))).select("path", "page", "rule", "value", left.alias("x0"), F.col("w.y0").alias("y0"), right.alias("x1"), F.col("w.y1").alias("y1"))
 
 
+def target_boxes(found: DataFrame, targets: DataFrame, tolerance: float = 8.0) -> DataFrame:
+    """(path, page, value, x0, y0, x1, y1): where targets (path, value) stand in rows of words: as they are, without case in compatible
+    characters, or without white space; the first place of each row."""
+    rows = geometry.group_rows(found.where("error is null"), ["path", "page"], tolerance)
+    lines = rows.groupBy("path", "page", "row").agg(F.sort_array(F.collect_list(F.struct("place", "text", "x0", "y0", "x1", "y1"))).alias("w"))
+    lines = lines.withColumn("offs", spans.sums_before(F.transform("w", lambda x: F.length(x["text"]) + 1))).withColumn("line", F.array_join(F.transform("w", lambda x: x["text"]), " "))
+    hit = lines.join(targets.select("path", "value").distinct(), "path").withColumn("x", find_target(F.col("line"), F.col("value"))).where("x is not null")
+    each = hit.select("path", "page", "value", F.col("x.start").alias("s"), F.col("x.end").alias("e"), F.inline(F.arrays_zip("w", "offs")))
+    n = F.length("w.text")
+    left, right = geometry.slice_box(F.col("w.text"), F.greatest(F.lit(0), F.col("s") - F.col("offs")), F.least(n, F.col("e") - F.col("offs")), F.col("w.x0"), F.col("w.x1"))
+    return each.where((F.col("offs") < F.col("e")) & (F.col("offs") + n > F.col("s"))).select("path", "page", "value", left.alias("x0"), F.col("w.y0").alias("y0"), right.alias("x1"), F.col("w.y1").alias("y1"))
+
+
 def redacted(content: bytes, wanted: list[dict], fill: bool = True) -> tuple[bytes, int]:
     """(file, characters taken out) without the characters whose middle lies in boxes (page, x0, y0, x1, y1)."""
     document = Document(content)

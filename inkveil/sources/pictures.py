@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from inkveil.functions.text import data_uri
+from inkveil.operators.ocr import sensitive_boxes
 from inkveil.sources.compound import Broken, Compound
 from inkveil.sources.legacy import FAULTS, inflated
+from inkveil.sources.raster import cover
 
 # How pictures begin, and the names they are known by.
 SIGNATURES = {b"\x89PNG\r\n\x1a\n": "png", b"\xff\xd8\xff": "jpg", b"GIF87a": "gif", b"GIF89a": "gif", b"BM": "bmp", b"II*\0": "tif", b"MM\0*": "tif"}
@@ -141,3 +143,12 @@ def type_of(content: Column) -> Column:
     for sign, name in reversed(SIGNATURES.items()):
         out = F.when(head.startswith(sign.hex().upper()), F.lit(name)).otherwise(out)
     return out
+
+
+def redact(pictures: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(path, name, content, hits, error): pictures with what their recognised blocks (path, name, id, text, box) show covered. One
+    without a hit stays as it is; one with hits of a kind that can't be written has no content but the reason."""
+    boxes = sensitive_boxes(blocks, ["path", "name"]).groupBy("path", "name").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("boxes"), F.count("*").cast("int").alias("hits"))
+    own = pictures.select("path", "name", "content").join(boxes, ["path", "name"], "left")
+    done = own.withColumn("_r", F.when(F.col("hits") > 0, cover("content", "boxes")))
+    return done.select("path", "name", F.when(F.col("hits") > 0, F.col("_r.content")).otherwise(F.col("content")).alias("content"), F.coalesce("hits", F.lit(0)).alias("hits"), F.col("_r.error").alias("error"))

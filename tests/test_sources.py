@@ -9,7 +9,7 @@ import pytest
 
 from inkveil.plans import samples
 from inkveil.plans.samples import CARD, MAIL, PHONE
-from inkveil.sources import files, legacy, packages, pdf, pictures, xml
+from inkveil.sources import files, legacy, packages, pdf, pictures, raster, xml
 from inkveil.sources.compound import Broken, Compound, compound
 
 FILE = "path string, ext string, content binary"
@@ -218,3 +218,51 @@ def test_pictures():
 def test_broken_is_a_value_error():
     with pytest.raises(Broken):
         Compound(b"x" * 600)
+
+
+def test_points_of_pictures():
+    """Each way that lines of a PNG are stored, palettes, and BMP from below; a covered picture keeps no trace of its points."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for colour, n in raster.CHANNELS.items():
+        points = rng.integers(0, 256, (7, 5, n), np.uint8)
+        plain = raster.write(points, {"kind": "png", "chunks": [(b"PLTE", bytes(range(1, 256)) * 3 + b"\0" * 3), (b"tEXt", b"secret")], "colour": colour})
+        assert (raster.read(plain)[0] == points).all() and b"secret" not in plain
+        rows = b""
+        before = np.zeros(5 * n, int)
+        for y in range(7):
+            row, kind = points[y].reshape(-1).astype(int), y % 5
+            left, corner = np.concatenate([np.zeros(n, int), row[:-n]]), np.concatenate([np.zeros(n, int), before[:-n]])
+            paeth = [min(((abs(u - c), 0, a), (abs(a - c), 1, u), (abs(a + u - 2 * c), 2, c)))[2] for a, u, c in zip(left, before, corner, strict=True)]
+            guess = [np.zeros(5 * n, int), left, before, (left + before) // 2, np.array(paeth)][kind]
+            rows += bytes([kind]) + ((row - guess) & 255).astype(np.uint8).tobytes()
+            before = row
+        start = plain.index(b"IDAT") - 4
+        size = struct.unpack_from(">I", plain, start)[0]
+        packed = zlib.compress(rows)
+        filtered = plain[:start] + struct.pack(">I", len(packed)) + b"IDAT" + packed + bytes(4) + plain[start + 12 + size :]
+        assert (raster.read(filtered)[0] == points).all()
+        out = raster.read(raster.covered(plain, [{"x0": 1.2, "y0": 2.0, "x1": 2.9, "y1": 99.0}]))[0]
+        assert len({tuple(p) for p in out[2:, 1:3].reshape(-1, n)}) == 1 and (out[:2] == points[:2]).all() and (out[:, 3:] == points[:, 3:]).all()
+    bmp = b"BM" + struct.pack("<IIIIiiHHIIIIII", 54 + 3 * 8, 0, 54, 40, 2, 3, 1, 24, 0, 24, 0, 0, 0, 0) + bytes(range(24))
+    points, how = raster.read(bmp)
+    assert points.shape == (3, 2, 3) and points[0, 0].tolist() == [16, 17, 18] and raster.write(points, how)[:54] == bmp[:54]
+    assert raster.read(raster.smaller(bmp, 2))[0].shape == (2, 1, 3)
+    for bad in (b"", b"GIF89a", raster.PNG + b"x" * 40, bmp[:60]):
+        with pytest.raises(raster.FAULTS):
+            raster.read(bad)
+
+
+def test_drawings_of_charts(spark):
+    import struct
+
+    text = f"tel {PHONE}".encode("utf-16le")
+    record = struct.pack("<II", 0x54, 76 + len(text)) + bytes(36) + struct.pack("<II", len(text) // 2, 76) + bytes(24) + text
+    raw = Compound(samples.doc([("cp1252", "x")]))
+    file = compound({p: raw.read(p) for p in raw.streams} | {"ObjectPool/_1/\x03EPRINT": struct.pack("<II", 1, 8) + record})
+    done = legacy.redact(rows(spark, ("doc", file))).first()
+    assert done.hits == 1 and Compound(bytes(done.content)).read("ObjectPool/_1/\x03EPRINT").endswith(("*" * (len(text) // 2)).encode("utf-16le"))
