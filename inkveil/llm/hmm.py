@@ -3,14 +3,15 @@
 Tokens are the words of a text, A-Z lower-cased, and one end. A state emits a class, and a class its word:
 P(word | state) = P(class | state) * P(word | class). The second factor doesn't depend on the state, so training needs
 only the chances of classes. Words seen COMMON times or more have a class by the hash of the word, rarer ones by that of their
-last three bytes, which groups endings of a language; the number of classes grows with the counted vocabulary (one for COMMON_A_CLASS
-common words and one for RARE_A_CLASS rare ones), up to MOST_WORDS and MOST_ENDINGS; the end has its own, and so has the unknown: a word that training has not seen. Its chance is learnt by state from the
+last three bytes, which groups endings of a language; how many classes there are is a parameter (``Classes``): what a round sums
+over the cluster is a row for each class and task, so a number that grew with the vocabulary would make it grow with the square of
+the corpus. What grows are the counts of words, all of which are kept and scored by; the end has its own, and so has the unknown: a word that training has not seen. Its chance is learnt by state from the
 words that training has seen once, which a held-out text would not know (leaving one out), so no word has chance zero
 and the chances of all known words, the end and the unknown add up to one.
 
 Counts: the words of all training texts are counted over the cluster, all of them kept. Texts are dealt into blocks; a
 block asks for the counts of its own distinct words (by their rank in it, so answers need no words) and turns its texts
-into sequences of classes, stored once, four bytes a token. Each round of Baum-Welch reads them, adds up the expected counts of
+into sequences of classes, stored once, two bytes a token (four for more than 32,000 classes). Each round of Baum-Welch reads them, adds up the expected counts of
 the block's sequences for STATES * classes numbers and sums those over the cluster, until a round gains less than TOLERANCE nats
 a token, or ROUNDS. Forward and backward passes run over many texts at a time, one column each.
 
@@ -34,21 +35,16 @@ from pyspark.sql import functions as F
 from inkveil.llm.common import shuffles_cleaned, small_batches, stored
 
 STATES, ROUNDS, TOLERANCE = 6, 6, 0.002
-#: Words of this count or more have a class by word; words that share a class, by their number. A round shuffles a row for each
-#: class and task, so there are fewer classes than words.
-COMMON, COMMON_A_CLASS, RARE_A_CLASS = 8, 32, 256
-#: The least and the most classes of words and of endings: the most bound what a round sends to the driver and back to 60 MB.
-LEAST, MOST_WORDS, MOST_ENDINGS = 4096, 1 << 20, 1 << 18
-#: In stored sequences: the word was seen once in training (there it stands for the unknown).
-ONCE = 1 << 31
+#: Words of this count or more have a class by word.
+COMMON = 8
 
 
 @dataclass(frozen=True)
 class Classes:
     """Classes by word, by ending, the end and the unknown, numbered in this order."""
 
-    by_word: int = LEAST
-    by_ending: int = LEAST
+    by_word: int = 20480
+    by_ending: int = 8192
 
     @property
     def end(self) -> int:
@@ -62,11 +58,15 @@ class Classes:
     def n(self) -> int:
         return self.end + 2
 
+    @property
+    def code(self) -> str:
+        """How numbers are stored; their highest bit tells that the word was seen once in training (there it stands for the
+        unknown)."""
+        return "<u2" if self.n < 1 << 15 else "<u4"
 
-def classes_for(common: int, rare: int) -> Classes:
-    """For so many common and rare words: the next powers of two."""
-    fit = lambda n, most: min(max(1 << max(n - 1, 0).bit_length(), LEAST), most)
-    return Classes(fit(common // COMMON_A_CLASS, MOST_WORDS), fit(rare // RARE_A_CLASS, MOST_ENDINGS))
+    @property
+    def once(self) -> int:
+        return 1 << (8 * np.dtype(self.code).itemsize - 1)
 
 
 #: The token of the end in the table of counts; no word holds a line feed.
@@ -129,8 +129,8 @@ def _encoder(total: int, distinct: int, ends: int, masses: np.ndarray, classes_:
         count[at], kind[at] = answers["c"].to_numpy(), answers["class"].to_numpy()
         base = np.log10(count + 0.1) - scale
         inner = np.where(count > 0, np.log10(count + 0.1) - np.log10(masses[kind]), 0.0)
-        codes = (kind + np.where(count == 1, ONCE, 0)).astype("<u4")
-        end = np.array([classes_.end], "<u4").tobytes()
+        codes = (kind + np.where(count == 1, classes_.once, 0)).astype(classes_.code)
+        end = np.array([classes_.end], classes_.code).tobytes()
         n_tokens, n_known, base_score, inside, classes = [], [], [], [], []
         for text in texts["text"].cast(pa.binary()).to_pylist():
             own = np.fromiter(map(rank.__getitem__, text.lower().split()), np.int64)
@@ -241,8 +241,8 @@ def _expectation(model: Model, classes: Classes):
         def sequences() -> Iterator[np.ndarray]:
             for batch in batches:
                 for raw in batch.column("classes").to_pylist():
-                    x = np.frombuffer(raw, "<u4").astype(np.int64)
-                    yield np.where(x >= ONCE, classes.unknown, x)
+                    x = np.frombuffer(raw, classes.code).astype(np.int64)
+                    yield np.where(x >= classes.once, classes.unknown, x)
 
         for group in _groups(sequences()):
             *own, logs = expected(model, group)
@@ -291,12 +291,12 @@ def fit(encoded: DataFrame, classes: Classes, rounds: int = ROUNDS, states: int
     return model
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, classes: Classes):
     """Scores of stored sequences, by groups of like length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.frombuffer(x, "<u4").astype(np.int64) & (ONCE - 1) for x in batch.column("classes").to_pylist()]
+            raw = [np.frombuffer(x, classes.code).astype(np.int64) & (classes.once - 1) for x in batch.column("classes").to_pylist()]
             order = sorted(range(len(raw)), key=lambda k: -len(raw[k]))
             logs = np.zeros(len(raw))
             at = 0
@@ -313,7 +313,7 @@ def _scorer(model: Model):
     return run
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout: Column | None = None, rounds: int = ROUNDS, states: int = STATES, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout: Column | None = None, rounds: int = ROUNDS, states: int = STATES, block_chars: int = BLOCK_CHARS, classes: Classes = Classes()) -> DataFrame:  # noqa: B008
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; learns from those not held out."""
     spark = df.sparkSession
     small_batches(spark)
@@ -324,9 +324,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout
     found = docs.where(~F.col("held_out")).select("text").mapInArrow(_word_counts, "word binary, n long")
     counts = found.groupBy("word").agg(F.sum("n").alias("c"))
     counts = stored(counts, "words")
-    sums = counts.agg(F.sum("c").alias("total"), F.count("*").alias("distinct"), F.max(F.when(F.col("word") == F.lit(END_WORD), F.col("c"))).alias("ends"), F.count_if(F.col("c") >= COMMON).alias("common")).first()
+    sums = counts.agg(F.sum("c").alias("total"), F.count("*").alias("distinct"), F.max(F.when(F.col("word") == F.lit(END_WORD), F.col("c"))).alias("ends")).first()
     total, distinct, ends = sums["total"] or 0, sums["distinct"], sums["ends"] or 0
-    classes = classes_for(sums["common"], distinct - sums["common"])
     counts = counts.withColumn("class", class_column(F.col("word"), F.col("c"), classes))
     masses = np.ones(classes.n)
     found = counts.groupBy("class").agg(F.sum(F.col("c") + 0.1).alias("m")).toArrow()
@@ -339,5 +338,5 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout
     encoded = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_encoder(total, distinct, ends, masses, classes), schema)
     encoded = stored(encoded, "sequences")
     model = fit(encoded.where(~F.col("held_out")), classes, rounds, states)
-    out = encoded.mapInArrow(_scorer(model), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = encoded.mapInArrow(_scorer(model, classes), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
