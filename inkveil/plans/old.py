@@ -49,7 +49,7 @@ def legacy_text(spark, sf_dir):
 @query("legacy_redact", f"select path, ext, hits, same, text from ({_texts_sql('*' * 19, '***@****', '***-****-****', '***-****-****', '*' * 19)}) join (select unnest(['doc', 'xls', 'ppt', 'hwp']) as ext, unnest([3, 4, 2, 2]) as hits, unnest([true, true, true, true]) as same) using (ext)")
 def legacy_redact(spark, sf_dir):
     files = _files(spark, sf_dir)
-    done = legacy.redact(files)
+    done = legacy.redact(files).persist()
     sizes = files.select("path", F.length("content").alias("n"))
     again = legacy.texts(legacy.runs(done))
     return done.join(sizes, "path").join(again, ["path", "ext"]).select("path", "ext", "hits", (F.length("content") == F.col("n")).alias("same"), "text")
@@ -124,7 +124,7 @@ def file_text(spark, sf_dir):
 
 @query("file_redact", "select concat('/', n_nationkey, '.', ext) as path, ext, case when ext in ('exe', 'hwp') then 0 else 1 end as hits, case ext when 'pdf' then n_name when 'doc' then concat(n_name, ' x ', repeat('*', 19)) when 'docx' then concat(n_name, ' x **** **** **** ****') when 'xml' then concat(n_name, '**** **** **** ****') end as text from nation, (select unnest(['doc', 'docx', 'pdf', 'xml', 'exe', 'hwp']) as ext)")
 def file_redact(spark, sf_dir):
-    done = files.redact(_any(spark, sf_dir))
+    done = files.redact(_any(spark, sf_dir)).persist()  # each reader below reads the redacted files again
     again = files.texts(done).select("path", F.col("text"))
     return done.join(again, "path").select("path", "ext", "hits", F.when(F.col("error").isNull(), F.col("text")).alias("text"))
 

@@ -13,7 +13,9 @@ from inkveil.functions.rules import RULES
 from inkveil.operators import entities, spans
 from inkveil.plans.catalog import QUERIES, SQL
 
-FAST = ["match_card_docs", "match_rrn_seed", "validate_card", "mask_card_4_4", "span_union_islands", "redact_text", "html_table", "row_grouping", "ner_metrics", "cleanup_text"]
+#: Over texts that a rule's guard rarely passes there is little to compare: these are run by name where they matter.
+EMPTY = {"match_rrn_docs", "match_fgn_docs", "match_driver_docs", "match_email_conversations"}
+NAMES = sorted(set(SQL) - EMPTY)
 
 
 @pytest.fixture(scope="session")
@@ -27,10 +29,12 @@ def duck(sf):
 def plain(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
-    return round(v, 9) if isinstance(v, float) else v
+    if isinstance(v, (bytes, bytearray)):
+        return bytes(v)
+    return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", NAMES)
 def test_against_sql(spark, sf, duck, name):
     df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
