@@ -34,10 +34,25 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts stay small: by rows, and by bytes where Spark has that setting."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    """Arrow batches of whole texts stay small, by rows and by bytes, in what this session runs from here on: plans that are returned
+    run later. Smaller settings stay."""
+    spark.conf.set(_ROWS, str(min(rows, int(spark.conf.get(_ROWS)))))
+    spark.conf.set(_BYTES, str(32 << 20))
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows in what is run inside."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
 
 
 def shared_dir(spark: SparkSession) -> str:

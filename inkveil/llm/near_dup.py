@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from inkveil.llm.common import cut, joined_split, shuffle_parts, small_batches, stored
+from inkveil.llm.common import batches_of, cut, joined_split, shuffle_parts, small_batches, stored
 
 #: Fingerprints of a tile, about; rows of it that are compared at once.
 TILE, ROWS = 4096, 256
@@ -238,8 +238,8 @@ def links(nodes: DataFrame, lanes: int, radius: int, deltas: list[int], tile: in
     counts = nodes.groupBy("cell").agg(F.count("*").alias("n"))
     dealt = joined_split(nodes, counts, "cell", ["fp"], 20_000).withColumn("_sub", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / tile)).cast("int"))
     tiles = stored(dealt.groupBy("cell", "_sub").agg(F.collect_list("fp").alias("_t")).withColumn("grp", F.lit(0)), "tiles")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    return _tile_pairs(tiles, deltas, 4 * shuffle_parts(spark)).mapInArrow(_pair_links(lanes, radius), "a binary, b binary")
+    with batches_of(spark, 64):
+        return stored(_tile_pairs(tiles, deltas, 4 * shuffle_parts(spark)).mapInArrow(_pair_links(lanes, radius), "a binary, b binary"), "tile-links")
 
 
 def block_links(nodes: DataFrame, lanes: int, radius: int, tile: int = TILE) -> DataFrame:
@@ -326,8 +326,8 @@ def set_links(nodes: DataFrame, lanes: int, radius: int, similarity: float) -> D
     share = F.greatest(F.col("n") / SET_TILE, F.col("_w") / SET_SHINGLES)
     dealt = joined_split(keyed, counts, "_g", ["fp"], 2_000).withColumn("_sub", F.pmod(F.xxhash64("fp"), F.ceil(share)).cast("int"))
     tiles = stored(dealt.groupBy("grp", "cell", "_sub").agg(F.collect_list(F.struct("fp", "root", "h")).alias("_t")), "set-tiles")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return _tile_pairs(tiles, [0, 1], 4 * shuffle_parts(spark)).mapInArrow(_set_links(lanes, radius, similarity), "a binary, b binary")
+    with batches_of(spark, 4):
+        return stored(_tile_pairs(tiles, [0, 1], 4 * shuffle_parts(spark)).mapInArrow(_set_links(lanes, radius, similarity), "a binary, b binary"), "set-links")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -421,7 +421,7 @@ def similar_components(marked: DataFrame, docs: DataFrame, shingle: int, lanes:
         return roots.withColumnRenamed("node", "fp")
     groups = connected(failed).withColumnRenamed("root", "grp").withColumnRenamed("node", "root")
     around = of.join(groups, "root").join(nodes.drop("m"), "fp").join(sets_of, "fp").select("grp", classes.alias("cell"), "fp", "root", F.col("_h").alias("h"))
-    more = stored(set_links(around, lanes, radius, similarity), "set-links")
+    more = set_links(around, lanes, radius, similarity)
     return connected(checked.unionByName(more)).withColumnRenamed("node", "fp")
 
 

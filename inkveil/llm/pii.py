@@ -266,7 +266,7 @@ def written(kind: Column, value: Column, sub: Column) -> Column:
 def surrogates(values: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) of distinct (kind, value): surrogates distinct, and none a value of the corpus, of any kind."""
     now = cut(values.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(key, F.col("kind"), F.col("value"), F.col("attempt"))))
-    listed = values.sparkSession.createDataFrame([(n.lower(),) for names in FIRST_NAMES.values() for n in names], "surrogate string")
+    listed = values.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n.lower()) for names in FIRST_NAMES.values() for n in names])).alias("surrogate"))
     taken = values.select(F.col("value").alias("surrogate")).unionByName(listed).distinct().withColumn("taken", F.lit(True))
     for _ in range(MOST_ATTEMPTS):
         first = now.groupBy("surrogate").agg(F.min(F.struct("value", "kind")).alias("first"), F.count("*").alias("n"))
