@@ -40,7 +40,7 @@ def line_ends_of(text: str) -> str:
 
 
 def trim_white(s: Column) -> Column:
-    return F.regexp_replace(s, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
+    return F.btrim(s, F.lit(" \t\n\r\f\x0b"))
 
 
 def cleanup_text(s: Column, keep_tabs: bool = False, compose: bool = True) -> Column:

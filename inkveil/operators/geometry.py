@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from inkveil.operators.spans import let
+
 # Widths of characters, by class, the first that fits.
 WIDTHS = [(r"\s", 0.18), ("[\\uAC00-\\uD7A3\\u1100-\\u11FF\\u3130-\\u318F]", 1.05), ("[\\u4E00-\\u9FFF]", 1.0), ("[0-9]", 0.62), ("[A-Za-z]", 0.68), ("[:\\uFF1A\\-\\u2010\\u2013\\u2014._/\\\\|()\\[\\]{},@]", 0.28)]
 OTHER_WIDTH = 0.55
@@ -33,9 +35,14 @@ def group_rows(words: DataFrame, keys: list[str], tolerance: float = 35.0, order
 
 
 def page_text(words: DataFrame, keys: list[str], tolerance: float = 8.0) -> DataFrame:
-    """The text of each page: words of a row with blanks, rows with line feeds."""
-    lines = group_rows(words, keys, tolerance).groupBy(*keys, "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias("line"))
-    return lines.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    """The text of each page: words of a row with blanks, rows with line feeds. As ``group_rows``, in the row of a page: its words
+    are sorted once and cut where their centres part, without windows."""
+    word = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("cy"), F.col("x0").alias("x"), F.col("text").alias("t"))
+    pages = words.groupBy(*keys).agg(F.sort_array(F.collect_list(word)).alias("_w"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: (i == 0) | (F.get("_w", i)["cy"] - F.get("_w", i - 1)["cy"] > tolerance))
+    row = lambda part: F.array_join(F.transform(F.sort_array(F.transform(part, lambda x: F.struct(x["x"], x["cy"], x["t"].alias("t")))), lambda x: x["t"]), " ")
+    lines = lambda at: F.transform(at, lambda b, k: row(F.slice("_w", b + 1, F.coalesce(F.get(at, k + 1), F.size("_w")) - b)))
+    return pages.select(*keys, F.array_join(let(begins, lines), "\n").alias("text"))
 
 
 def slice_box(t: Column, start: Column, end: Column, x0: Column, x1: Column) -> tuple[Column, Column]:

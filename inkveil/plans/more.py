@@ -9,6 +9,7 @@ from inkveil.operators import chunks, entities, geometry, report, spans, tables
 from inkveil.plans import oracle
 from inkveil.plans.queries import _ALNUM, POLICY, SQL, _char_fold, query, read, seeded, span_rows
 from inkveil.plans.seed import corpus
+from inkveil.session import spread
 
 # --- reports --------------------------------------------------------------------------------------------------------------
 
@@ -221,7 +222,7 @@ def strip_invisible(spark, sf_dir):
 @query("cleanup_text", r"select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(concat(text, chr(13), chr(10), chr(10), chr(10), '  x ', chr(9), ' y  ', chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g') as t from documents")
 def cleanup_text(spark, sf_dir):
     t = F.concat("text", F.lit("\r\n\n\n  x \t y  \n"))
-    return read(spark, sf_dir, "documents").select("doc_id", text.cleanup_text(t).alias("t"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.cleanup_text(t).alias("t"))
 
 
 @query("normalize_basic", r"select doc_id, regexp_replace(regexp_replace(replace(replace(replace(replace(concat(text, chr(13), chr(10), 'a', chr(9), 'b—c  ', chr(13), 'd'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '—', '-'), chr(9), ' '), '[ \f\x0B]+', ' ', 'g'), '(?m)[ ]+$', '', 'g') as t from documents")
