@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from inkveil.functions.text import blank_tables
 from inkveil.operators.chunks import chunk_windows
-from inkveil.operators.spans import blank_ranges, greatest_before, let
+from inkveil.operators.spans import blank_ranges, greatest_before, let, meets
 
 ENTITY = "array<struct<label:string,start:int,end:int,score:double>>"
 #: Labels whose tokens join over a few blanks; others must touch.
@@ -152,8 +152,14 @@ def first_wins(entities: Column) -> Column:
 
 
 def beside_matches(entities: Column, matches: Column) -> Column:
-    """Entities that overlap no match, nor an entity that was kept before."""
-    free = F.filter(entities, lambda x: ~F.exists(matches, lambda m: (x["start"] < m["end"]) & (m["start"] < x["end"])))
+    """Entities that overlap no match, nor an entity that was kept before. Matches are met in a sweep; entities, of which there are few
+    beside each other, one by one in their order."""
+    entry = lambda x, i, e: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), i.alias("i"), e.alias("e"))
+    none = F.lit(None).cast("struct<label:string,start:int,end:int,score:double>")
+    plain = lambda x: F.struct(x["label"].alias("label"), x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["score"].cast("double").alias("score"))
+    both = F.concat(F.transform(entities, lambda x, i: entry(x, i, plain(x))), F.transform(matches, lambda m: entry(m, F.lit(-1), none)))
+    beside = lambda own: let(meets(own, lambda x: x["i"] < 0), lambda hit: F.sort_array(F.transform(F.filter(own, lambda x, k: (x["i"] >= 0) & ~F.get(hit, k)), lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e")))))
+    free = F.transform(let(F.sort_array(both), beside), lambda x: x["e"])
     step = lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), acc).otherwise(F.concat(acc, F.array(x)))
     return F.aggregate(free, F.array().cast(ENTITY), step)
 

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
-from inkveil.functions import text
-from inkveil.operators import chunks, entities, geometry, ocr
+from inkveil.functions import masks, text
+from inkveil.operators import chunks, entities, geometry, ocr, report, tables
 from inkveil.plans import oracle
 from inkveil.plans.more import _WORDS, _words
-from inkveil.plans.queries import query, read
+from inkveil.plans.queries import query, read, seeded, span_rows
 from inkveil.plans.seed import corpus
-from inkveil.sources import packages, xml
+from inkveil.session import spread
+from inkveil.sources import packages, pictures, xml
 
 # --- texts and their raw places -------------------------------------------------------------------------------------------
 
@@ -256,3 +257,67 @@ def external_links(spark, sf_dir):
 @query("package_secrets", f"select concat('/', n_nationkey, '.hwpx') as path, '{_CARD}' as value from nation")
 def package_secrets(spark, sf_dir):
     return packages.secrets(packages.members(_packages(spark, sf_dir).where("ext = 'hwpx'"))).select("path", F.explode("values").alias("value"))
+
+
+@query("xlsx_html", "select concat('/', n_nationkey, '.docx!word/embeddings/x.xlsx') as path, 'A & B' as name, concat('<table><tr><td>', '" + _CARD + "', '</td></tr></table>') as html from nation")
+def xlsx_html(spark, sf_dir):
+    found = packages.embedded(packages.members(_packages(spark, sf_dir).where("ext = 'docx'")))
+    grid = tables.dense(packages.cells(found), ["path", "sheet"])
+    return tables.html_table(grid, ["path", "sheet"]).join(packages.sheet_names(found), ["path", "sheet"]).select("path", "name", "html")
+
+
+@query("preview_caps", "select sheet, max(row)::int as n_rows, max(col)::int as n_cols from (select l_orderkey as sheet, l_linenumber as row, (l_partkey % 4 + 1)::int as col from lineitem where l_linenumber <= 3 and l_partkey % 4 + 1 <= 2) group by sheet")
+def preview_caps(spark, sf_dir):
+    cells = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("row"), (F.col("l_partkey") % 4 + 1).cast("int").alias("col"), F.lit("x").alias("value")).distinct()
+    return tables.dense(cells, ["sheet"], 3, 2).groupBy("sheet").agg(F.max("row").alias("n_rows"), F.max(F.size("values")).alias("n_cols"))
+
+
+# --- small parts ------------------------------------------------------------------------------------------------------------
+
+
+@query("cleanup_keep_tabs", r"select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(concat(coalesce(text, ''), chr(13), chr(10), chr(10), chr(10), '  x ', chr(9), ' y  ', chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ ]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ ]{2,}', ' ', 'g'), '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g') as t from documents")
+def cleanup_keep_tabs(spark, sf_dir):
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit("\r\n\n\n  x \t y  \n"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.cleanup_text(t, keep_tabs=True).alias("t"))
+
+
+@query("replace_overlays", "select c_custkey, replace(replace(replace(c_name, 'Customer', 'C'), 'C#', 'X'), '0', 'o') as t from customer")
+def replace_overlays(spark, sf_dir):
+    pair = lambda a, b: F.struct(F.lit(a).alias("literal"), F.lit(b).alias("replacement"))
+    return read(spark, sf_dir, "customer").select("c_custkey", chunks.replace_overlays(F.col("c_name"), F.array(pair("Customer", "C"), pair("C#", "X"), pair("0", "o"))).alias("t"))
+
+
+@query("mean_score", oracle.seeded("select count(*) as n, count(*) filter (where valid) as n_ok, count(*) filter (where not valid) as n_fail, (select round(avg(l_discount), 2) from lineitem) as mean_score from kept"))
+def mean_score(spark, sf_dir):
+    return report.totals(span_rows(seeded(spark, sf_dir)), read(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("score")))
+
+
+@query("leading_spaces", "select p_partkey, concat(repeat('&nbsp;', (p_size % 4)::int), p_name, '  x') as t from part")
+def leading_spaces(spark, sf_dir):
+    raw = F.concat(F.repeat(F.lit(" "), F.col("p_size") % 4), "p_name", F.lit("  x"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.leading_spaces(raw).alias("t"))
+
+
+@query("mask_except_hyphen_at", oracle.seeded("select doc_id, mail as value, regexp_replace(concat(mail, '-x'), '[^@-]', '*', 'g') as masked from seed", False))
+def mask_except_hyphen_at(spark, sf_dir):
+    return corpus(spark, sf_dir).select("doc_id", F.col("mail").alias("value"), masks.except_hyphen_at(F.concat("mail", F.lit("-x"))).alias("masked"))
+
+
+@query("pipe_rows", "select p_partkey, concat('| ', p_name, ' | ', p_brand, ' |  |') as t from part")
+def pipe_rows(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", tables.pipe_row(F.array("p_name", "p_brand", F.lit(""))).alias("t"))
+
+
+@query("pages_in_order", "select l_orderkey as doc_id, string_agg(concat('page ', l_linenumber), chr(10) || chr(10) order by l_linenumber) as text from (select distinct l_orderkey, l_linenumber from lineitem) group by 1")
+def pages_in_order(spark, sf_dir):
+    own = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page")).distinct()
+    return chunks.in_page_order(own.withColumn("text", F.concat(F.lit("page "), "page")), ["doc_id"])
+
+
+@query("shown_pictures", "select concat('/', n_nationkey) as path, place::int as place, concat('p', place, '.png') as name, case when place = 2 then 'jpg' else 'gif' end as kind, concat('data:image/', case when place = 2 then 'jpeg' else 'gif' end, ';base64,', to_base64(encode(case when place = 2 then 'abc' else 'GIF89a' end))) as uri, case when place = 2 then null else 'gif' end as told from nation, (select unnest([1, 2]) as place)")
+def shown_pictures(spark, sf_dir):
+    one = lambda k, kind, data: F.struct(F.lit(f"p{k}.png").alias("name"), F.lit(kind).alias("kind"), F.lit(data).cast("binary").alias("content"))
+    own = read(spark, sf_dir, "nation").select(F.concat(F.lit("/"), "n_nationkey").alias("path"), F.inline(F.array(one(3, "png", "x"), one(1, "gif", "GIF89a"), one(2, "jpg", "abc"))))
+    own = own.withColumn("size", F.length("content")).withColumn("digest", F.sha1("content"))
+    first = pictures.shown(own, 2)
+    return first.join(own.select("path", "name", pictures.type_of(F.col("content")).alias("told")), ["path", "name"]).select("path", "place", "name", "kind", "uri", "told")
