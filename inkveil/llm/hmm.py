@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import shuffles_cleaned, small_batches, stored
+from inkveil.llm.common import joined_split, shuffles_cleaned, small_batches, stored
 
 STATES, ROUNDS, TOLERANCE = 6, 6, 0.002
 #: Words of this count or more have a class by word.
@@ -332,7 +332,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout
     masses[found["class"].to_numpy()] = found["m"].to_numpy()
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     asked = dealt.select("block", "text").groupBy("block").applyInArrow(_requests, "block int, rank int, word binary")
-    answers = stored(asked.join(counts, "word").select("block", "rank", F.col("c").cast("int").alias("c"), "class"), "answers")
+    # a frequent word is asked for by every block: its rows are dealt over tasks by its count, which they can't exceed
+    found = joined_split(asked, counts.withColumnRenamed("c", "n"), "word", ["block"], 20_000)
+    answers = stored(found.select("block", "rank", F.col("n").cast("long").alias("c"), "class"), "answers")
     kind = dict(docs.dtypes)["id"]
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"
     encoded = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_encoder(total, distinct, ends, masses, classes), schema)
