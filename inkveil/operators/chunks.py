@@ -85,7 +85,8 @@ def pages(df: DataFrame, keys: list[str], text_col: str = "text", most: int = 32
     return df.select(*keys, F.posexplode(split(F.col(text_col))).alias("page", "text"))
 
 
-#: What may stand between two characters of a needle in a page's text, twice at most; characters of such gaps in all.
+# What may stand between two characters of a needle in a page's text, twice at most, and how many characters such
+# gaps may hold in all.
 _GAP = "(?:[\\s\u200b\u200c\u200d\ufeff]{0,2}|__TAG_[0-9]+__){0,2}"
 LEAST_GAP, MOST_GAP, GAP_SHARE = 6, 24, 0.6
 

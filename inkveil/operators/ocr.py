@@ -16,6 +16,9 @@ from inkveil.functions.rules import RULES, Rule, select
 from inkveil.operators.spans import find, let, sums_before
 
 BOX = ("x0", "y0", "x1", "y1")
+# Signs that part words and labels of a block, and how passports look in one.
+WORDS, LABELS = "[\\s,;()\\[\\]{}<>\"'“”‘’]+", "[:：=|]+"
+PASSPORTS = (r"\b[A-Z][0-9]{7,9}\b", r"\b[A-Z][0-9]{3}[A-Z][0-9]{4}\b")
 #: Telephone numbers that a line may give; digit groups after the first that a card number may span; how far below a line the
 #: rest of a number may stand.
 PHONES, GROUPS, NEXT_LINE = 6, 3, 120.0
@@ -128,8 +131,8 @@ def candidate_texts(t: Column, extra: Column | None = None) -> Column:
     def all_of(t0: Column) -> Column:
         tight = F.replace(t0, F.lit(" "), F.lit(""))
         single = [t0, F.coalesce(extra, F.lit("")) if extra is not None else F.lit(""), after(t0, ":"), after(t0, "："), tight, F.replace(F.replace(tight, F.lit("|"), F.lit("")), F.lit("I"), F.lit("1"))]
-        words, parts = F.split(t0, "[\\s,;()\\[\\]{}<>\"'“”‘’]+"), F.split(t0, "[:：=|]+")
-        passports = [F.regexp_extract_all(tight, F.lit(rx), F.lit(0)) for rx in (r"\b[A-Z][0-9]{7,9}\b", r"\b[A-Z][0-9]{3}[A-Z][0-9]{4}\b")]
+        words, parts = F.split(t0, WORDS), F.split(t0, LABELS)
+        passports = [F.regexp_extract_all(tight, F.lit(rx), F.lit(0)) for rx in PASSPORTS]
         every = F.concat(F.array(*single), words, parts, F.array(F.regexp_extract(t0, texts.RELAXED_EMAIL, 0)), *passports)
         return F.array_distinct(F.filter(F.transform(every, clean), lambda x: x != ""))
 

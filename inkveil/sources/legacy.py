@@ -263,8 +263,10 @@ def excel(file: Compound) -> Iterator[tuple]:
             yield _run("cell", streams, [_string(path, book, a + 6, a + n, "latin-1")], **at)
         elif kind in (0x14, 0x15) and n >= 3:
             later.append(_run("header", streams, [_string(path, book, a, a + n, "latin-1")], sheet))
-        elif kind == 0x1B6 and n >= 12:
-            count = struct.unpack_from("<H", book, a + 10)[0]
+        elif kind == 0x1B6 and n >= 14:
+            count, formats = struct.unpack_from("<HH", book, a + 10)
+            if not is_text_object(count, formats):
+                continue
             places = []
             while k + 1 + len(places) < len(every) and every[k + 1 + len(places)][0] == 0x3C:
                 places.append(every[k + 1 + len(places)][1:])
@@ -276,6 +278,11 @@ def excel(file: Compound) -> Iterator[tuple]:
         yield _run("shared", streams, shared[k])
 
 
+def is_text_object(count: int, formats: int) -> bool:
+    """Whether a text box's head tells of a text: characters, and formats of eight bytes each, two at least."""
+    return count > 0 and formats >= 16 and formats % 8 == 0
+
+
 def powerpoint(file: Compound) -> Iterator[tuple]:
     """Text atoms in the order of the records, containers opened."""
     path = "PowerPoint Document"

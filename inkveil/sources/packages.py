@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkveil.functions import masks, validators
-from inkveil.functions.text import clean_extracted, cleanup_text, line_ends
+from inkveil.functions.text import CELL_RANGE, clean_extracted, cleanup_text, line_ends
 from inkveil.operators import spans
 from inkveil.operators.tables import cell_reference
 
@@ -219,12 +219,17 @@ def shared_strings(xml: Column) -> Column:
     return F.transform(items, lambda x: unescape(F.array_join(F.regexp_extract_all(x, F.lit(r"(?s)<t[^>]*>(.*?)</t>"), F.lit(1)), "")))
 
 
+# What is no text of an HWPX file: tags, lines of a note's mark alone, such marks, cell ranges, a format's name.
+_HWPX_TAG, _HWPX_NOTE_LINE, _HWPX_NOTE = r"<[^>\n]+>", r"^\s*\(?\^[0-9]+[).\s]*$", r"\(\^[0-9]+\)"
+_HWPX_FORMAT = r"(?i)General(?=\s*[0-9])"
+
+
 def _hwpx_clean(t: Column) -> Column:
-    """Without tags, marks of notes, cell ranges, and the format name before a number."""
-    t = F.regexp_replace(t, r"<[^>\n]+>", "")
-    lines = F.filter(F.split(t, "\n", -1), lambda x: ~x.rlike(r"^\s*\(?\^[0-9]+[).\s]*$"))
-    t = F.regexp_replace(F.array_join(lines, "\n"), r"\(\^[0-9]+\)", "")
-    return F.regexp_replace(F.regexp_replace(t, r"(?i)Sheet[0-9]*!\$[A-Z]+\$[0-9]+(?::\$[A-Z]+\$[0-9]+)?", ""), r"(?i)General(?=\s*[0-9])", "")
+    lines = F.filter(F.split(F.regexp_replace(t, _HWPX_TAG, ""), "\n", -1), lambda x: ~x.rlike(_HWPX_NOTE_LINE))
+    out = F.array_join(lines, "\n")
+    for rx in (_HWPX_NOTE, CELL_RANGE, _HWPX_FORMAT):
+        out = F.regexp_replace(out, rx, "")
+    return out
 
 
 def texts(found: DataFrame) -> DataFrame:

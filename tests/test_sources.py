@@ -126,6 +126,11 @@ def test_nothing_masked_is_left(spark):
                 assert value.encode(codec) not in raw, (r.ext, value)
 
 
+def test_text_objects():
+    assert legacy.is_text_object(3, 16) and legacy.is_text_object(1, 24)
+    assert not any(legacy.is_text_object(*x) for x in ((0, 0), (3, 8), (3, 20), (0, 16)))
+
+
 def test_bytes_masked():
     data = f"x {MAIL} y".encode() + f"x {MAIL} y".encode("utf-16le") + "한글 값".encode("cp949")
     out = legacy.without_addresses(data)
