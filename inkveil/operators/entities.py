@@ -99,10 +99,10 @@ def normal_label(label: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(label, F.lit("")), r"(?i)^[BIES][-_]", ""))
 
 
-def token_spans(tokens: DataFrame, keys: list[str], text_col: str = "text", threshold: float = 0.0, labels: list[str] | None = None) -> DataFrame:
+def token_spans(tokens: DataFrame, keys: list[str], text_col: str = "text", threshold: float = 0.0, labels: list[str] | None = None, soft_gap: int = SOFT_GAP) -> DataFrame:
     """(keys, label, start, end, score): runs of tokens (keys, tok, label, start, end, score, text of the document). Other
-    tokens (label O, too low a score, a label not asked for) end a run; so does a gap: of more than SOFT_GAP blanks for
-    SOFT labels, of any characters for others."""
+    tokens (label O, too low a score, a label not asked for) end a run; so does a gap: of more than
+    soft_gap blanks, or of anything else, for SOFT labels, of any characters for others."""
     label = normal_label(F.col("label"))
     out = (label == "O") | (label == "") | (F.col("score") < threshold) | (~label.isin(*labels) if labels else F.lit(False))
     w = W.partitionBy(*keys).orderBy("tok")
@@ -111,7 +111,7 @@ def token_spans(tokens: DataFrame, keys: list[str], text_col: str = "text", thre
     reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
     t = t.withColumn("_pe", reach)
     gap = F.substring(F.col(text_col), F.col("_pe") + 1, F.col("start") - F.col("_pe"))
-    near = (F.col("start") <= F.col("_pe")) | (F.col("_l").isin(*SOFT) & (F.col("start") - F.col("_pe") <= SOFT_GAP) & gap.rlike(r"^\s*$"))
+    near = (F.col("start") <= F.col("_pe")) | (F.col("_l").isin(*SOFT) & (F.col("start") - F.col("_pe") <= soft_gap) & gap.rlike(r"^[ \t]*$"))
     new = F.col("_pl").isNull() | F.col("_po") | (F.col("_l") != F.col("_pl")) | ~near
     t = t.where(~F.col("_out") | F.lit(True)).withColumn("_run", F.sum(F.when(F.coalesce(new, F.lit(True)) | F.col("_out"), 1).otherwise(0)).over(w))
     found = t.where(~F.col("_out")).groupBy(*keys, "_run").agg(F.first("_l").alias("label"), F.min("start").alias("start"), F.max("end").alias("end"), F.avg("score").alias("score"))

@@ -45,6 +45,17 @@ def page_text(words: DataFrame, keys: list[str], tolerance: float = 8.0) -> Data
     return pages.select(*keys, F.array_join(let(begins, lines), "\n").alias("text"))
 
 
+def layout_text(words: DataFrame, keys: list[str], tolerance: float = 8.0, wide: float = 1.5) -> DataFrame:
+    """The text of each page with its columns kept apart: as ``page_text``, but words whose gap exceeds that many times the height of
+    the row are parted by three blanks."""
+    rows = group_rows(words, keys, tolerance)
+    lists = rows.groupBy(*keys, "row").agg(F.sort_array(F.collect_list(F.struct("place", "text", "x0", "x1", "y0", "y1"))).alias("_w"))
+    apart = lambda x, i: F.get("_w", i)["x0"] - F.get("_w", i - 1)["x1"] > wide * F.greatest(F.lit(1.0), F.get("_w", i)["y1"] - F.get("_w", i)["y0"])
+    sign = lambda x, i: F.when(i == 0, "").when(apart(x, i), "   ").otherwise(" ")
+    lines = lists.select(*keys, "row", F.array_join(F.transform("_w", lambda x, i: F.concat(sign(x, i), x["text"])), "").alias("line"))
+    return lines.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
 def slice_box(t: Column, start: Column, end: Column, x0: Column, x1: Column) -> tuple[Column, Column]:
     """Left and right of the characters from start to end, by their widths; the whole box if that is under one unit wide."""
     n = F.length(t)

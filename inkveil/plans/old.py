@@ -189,3 +189,14 @@ def picture_preview(spark, sf_dir):
     own = _drawn(spark, sf_dir)
     small, same = raster.shrink(F.col("content"), 10)["content"], raster.shrink(F.col("content"), 40)["content"]
     return own.select("path", _points(small)["n"].alias("n"), (same == F.col("content")).alias("same"))
+
+
+@query("pdf_markdown", "select concat('/', n_nationkey, '.pdf') as path, 1 as page, concat(n_name, chr(10), chr(10), '| a b | 1 |', chr(10), '| --- | --- |', chr(10), '| c | 2 |', chr(10), '| d | 3 |', chr(10)) as text from nation")
+def pdf_markdown(spark, sf_dir):
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            page = lambda name: [(50, 700, name), (50, 680, "a b"), (150, 680, "1"), (50, 660, "c"), (150, 660, "2"), (50, 640, "d"), (150, 640, "3")]
+            yield pd.DataFrame([(f"/{k}.pdf", "pdf", samples.pdf([page(name)])) for k, name in zip(batch["n_nationkey"], batch["n_name"], strict=True)], columns=["path", "ext", "content"])
+
+    own = read(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(make, "path string, ext string, content binary")
+    return pdf.markdown(pdf.words(own))

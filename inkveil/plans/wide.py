@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from inkveil.functions import masks, text
-from inkveil.operators import chunks, entities, geometry, ocr, report, tables
+from inkveil.operators import chunks, entities, geometry, inference, ocr, report, tables
 from inkveil.plans import oracle
 from inkveil.plans.more import _WORDS, _words
 from inkveil.plans.queries import query, read, seeded, span_rows
@@ -169,6 +169,19 @@ def recognise(spark, sf_dir):
     return found.select("doc_id", F.inline("entities")).select("doc_id", "label", F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"))
 
 
+@query("token_windows", """select l_orderkey as doc_id, t as tok, k as "window" from (select *, case when n <= 4 then 1 else ((n - 4 + 2) // 3) + 1 end as last from (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1 as t, count(*) over (partition by l_orderkey) as n from lineitem)), (select unnest(range(0, 9)) as k) where k < last and k * 3 <= t and t < k * 3 + 4""")
+def token_windows(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("start"), F.col("l_partkey").alias("end"))
+    return inference.windows(t, ["doc_id"], 6, 1).select("doc_id", F.col("tok").cast("long").alias("tok"), F.col("window").cast("long").alias("window"))
+
+
+@query("token_labels", """select l_orderkey, l_linenumber, l_partkey, case when a >= b and a >= c then 'O' when b >= c then 'B-PS' else 'LC' end as label, round(exp(greatest(a, b, c) / 3) / (exp(a / 3) + exp(b / 3) + exp(c / 3)), 6) as score from (select distinct l_orderkey, l_linenumber, l_partkey, l_discount * 30 as a, l_tax * 40 as b, l_quantity / 10 as c from lineitem)""")
+def token_labels(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.array(F.col("l_discount") * 30, F.col("l_tax") * 40, F.col("l_quantity") / 10).alias("x")).distinct()
+    t = t.withColumn("y", inference.likeliest(F.col("x"), ["O", "B-PS", "LC"]))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", "y.label", F.round("y.score", 6).alias("score"))
+
+
 @query("label_distribution", "select label, n from (select p_brand as label, count(*) as n from part group by 1) order by n desc, label limit 12")
 def label_distribution(spark, sf_dir):
     return entities.label_distribution(read(spark, sf_dir, "part").select(F.col("p_brand").alias("label")))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import validators
-from inkveil.functions.text import find_target
+from inkveil.functions.text import find_target, tables_to_markdown
 from inkveil.operators import geometry, spans
 from inkveil.sources.compound import Broken
 
@@ -558,6 +558,12 @@ def pages(found: DataFrame, tolerance: float = 8.0) -> DataFrame:
     return geometry.page_text(found.where("error is null"), ["path", "page"], tolerance)
 
 
+def markdown(found: DataFrame) -> DataFrame:
+    """(path, page, text) of words: rows whose words stand in columns become tables, three in a row at least."""
+    own = geometry.layout_text(found.where("error is null"), ["path", "page"])
+    return own.select("path", "page", tables_to_markdown("text").alias("text"))
+
+
 def texts(found: DataFrame) -> DataFrame:
     """(path, ext, text): pages in their order."""
     lists = pages(found).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("_p"))

@@ -258,3 +258,24 @@ def test_stream_of_documents(spark, tmp_path):
 def test_ocr_cards_are_checked(spark):
     df = spark.createDataFrame([("4111111111111111",), ("4111111111111112",), ("41111",)], "v string")
     assert [r.x for r in df.select(validators.is_ocr_card(F.col("v")).alias("x")).collect()] == [True, False, False]
+
+
+def test_inference(spark):
+    """Tokens in windows that overlap give each entity once, with the mean of its scores; the rest as the rules say."""
+    from inkveil.operators import inference
+
+    t = "Kim Lee, in Seoul (Gangnam) and\nBusan"
+    names = ["O", "B-PS", "I-PS", "LC"]
+    import re as expressions
+
+    words = [(m.start(), m.end()) for m in expressions.finditer(r"\w+", t)]
+    kind = {"Kim": 1, "Lee": 2, "Seoul": 3, "Gangnam": 3, "Busan": 3}
+    rows = [(1, a, b, [9.0 if k == kind.get(t[a:b], 0) else 0.0 for k in range(4)], t, [(0, 1)] if a < 0 else []) for a, b in words]
+    df = spark.createDataFrame(rows, "doc_id long, start int, end int, logits array<double>, text string, out array<struct<start:int,end:int>>")
+    for length in (100, 6, 5):
+        found = inference.infer(df, ["doc_id"], names, settings=inference.Settings(max_length=length, stride=1)).collect()
+        assert sorted((r.label, t[r.start : r.end]) for r in found) == [("LC", "Busan"), ("LC", "Seoul (Gangnam)"), ("PS", "Kim"), ("PS", "Lee")]
+        assert all(0.8 < r.score < 0.9 for r in found)
+    left = inference.infer(df.withColumn("out", F.expr("array(named_struct('start', 12, 'end', 13))")), ["doc_id"], names, exclude="out", wanted=["LC"]).collect()
+    assert sorted(t[r.start : r.end] for r in left) == ["Busan", "Gangnam"]
+    assert inference.Settings.of({"NER_STRIDE": "3", "NER_FORCE_CPU": "1", "NER_TEMPERATURE": "2.5", "X": "y"}) == inference.Settings(stride=3, force_cpu=True, temperature=2.5)
