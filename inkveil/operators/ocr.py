@@ -5,7 +5,10 @@ and everything but the grouping by image is expressions in a row. Recognition it
 from __future__ import annotations
 
 import datetime
+from collections.abc import Iterator
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,6 +16,7 @@ from pyspark.sql.window import Window as W
 from inkveil.functions import text as texts
 from inkveil.functions import validators
 from inkveil.functions.rules import RULES, Rule, select
+from inkveil.operators.geometry import page_text
 from inkveil.operators.spans import find, let, sums_before
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -24,6 +28,38 @@ PASSPORTS = (r"\b[A-Z][0-9]{7,9}\b", r"\b[A-Z][0-9]{3}[A-Z][0-9]{4}\b")
 PHONES, GROUPS, NEXT_LINE = 6, 3, 120.0
 
 
+#: Confidences that are asked for one after the other until some block has one.
+PASSES = (0.30, 0.05, 0.01)
+BLOCK = "path string, name string, id int, text string, x0 double, y0 double, x1 double, y1 double, conf double"
+
+
+class BlocksProvider(Protocol):
+    """Yields the blocks of batches of pictures (path, name, content): rows of BLOCK."""
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]: ...
+
+
+def no_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The provider where there is no recognition."""
+    for _ in batches:
+        yield pd.DataFrame({c.split()[0]: pd.Series(dtype={"string": str, "int": "int32", "double": float}[c.split()[1]]) for c in BLOCK.split(", ")})
+
+
+def recognise(pictures: DataFrame, provider: BlocksProvider = no_blocks, passes: tuple[float, ...] = PASSES) -> DataFrame:
+    """Blocks of pictures (path, name, content): of each picture those that reach the first of the confidences that any reaches."""
+    raw = pictures.select("path", "name", "content").mapInPandas(provider, BLOCK)
+    best = F.max("conf").over(W.partitionBy("path", "name"))
+    least = F.lit(None).cast("double")
+    for own in sorted(passes):
+        least = F.when(F.col("_best") >= own, F.lit(own)).otherwise(least)
+    return raw.withColumn("_best", best).where(F.col("conf") >= least).drop("_best")
+
+
+def reading_text(blocks: DataFrame, keys: list[str], least: float = 0.25, tolerance: float = 18.0) -> DataFrame:
+    """(keys, text): blocks read with some confidence, line by line."""
+    return page_text(confident(blocks, least), keys, tolerance)
+
+
 def confident(blocks: DataFrame, least: float) -> DataFrame:
     """Blocks that were read with this confidence at least; of unknown confidence none."""
     return blocks.where(F.col("conf") >= least)

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from inkveil.operators import tables
+from inkveil.operators import ocr, tables
 from inkveil.plans import samples
 from inkveil.plans.queries import query, read
 from inkveil.plans.samples import CARD, MAIL, PHONE
@@ -200,3 +200,22 @@ def pdf_markdown(spark, sf_dir):
 
     own = read(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(make, "path string, ext string, content binary")
     return pdf.markdown(pdf.words(own))
+
+
+@query("picture_text", "select concat('/', n_nationkey) as path, case n_nationkey % 3 when 0 then concat('name ', n_name, chr(10), 'low') when 1 then 'low' end as text, case n_nationkey % 3 when 0 then 3 when 1 then 1 else 1 end::bigint as n from nation where n_nationkey % 4 <> 3")
+def picture_text(spark, sf_dir):
+    # what a provider might read: three blocks well, one badly, or one very badly
+    def provider(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, name in zip(batch["path"], batch["content"], strict=True):
+                k = int(path[1:])
+                block = lambda i, t, x, y, conf: (path, "a.png", i, t, x, y, x + 9, y + 9, conf)  # noqa: E731, B023
+                of = {0: [block(0, bytes(name).decode(), 20.0, 1.0, 0.9), block(1, "name", 0.0, 5.0, 0.4), block(2, "low", 0.0, 60.0, 0.3), block(3, "noise", 0.0, 90.0, 0.1)], 1: [block(0, "low", 0.0, 0.0, 0.26)], 2: [block(0, "noise", 0.0, 0.0, 0.02)]}
+                rows += of[k % 3] if k % 4 != 3 else []
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ocr.BLOCK.split(", ")])
+
+    own = read(spark, sf_dir, "nation").select(F.concat(F.lit("/"), "n_nationkey").alias("path"), F.lit("a.png").alias("name"), F.col("n_name").cast("binary").alias("content"))
+    blocks = ocr.recognise(own, provider)
+    counts = blocks.groupBy("path").agg(F.count("*").alias("n"))
+    return counts.join(ocr.reading_text(blocks, ["path"]), "path", "left").select("path", "text", "n")
