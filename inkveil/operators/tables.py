@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.text import escape_html
+from inkveil.operators.spans import let
 
 
 def column_index(letters: Column) -> Column:
@@ -20,12 +21,17 @@ def cell_reference(ref: Column) -> tuple[Column, Column]:
 
 
 def dense(cells: DataFrame, sheet: list[str], max_rows: int = 200, max_cols: int = 50) -> DataFrame:
-    """(sheet, row, values): every row and column up to the last one used, within the caps of a preview; empty cells ''."""
+    """(sheet, row, values): every row and column up to the last one used, within the caps of a preview; empty cells ''. A sheet's
+    cells, as many as the caps allow, meet once; its rows keep their partition."""
     used = cells.where(F.col("row").between(1, max_rows) & F.col("col").between(1, max_cols))
-    rows = used.groupBy(*sheet, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("_m"))
-    size = used.groupBy(*sheet).agg(F.max("row").alias("_r"), F.max("col").alias("_c"))
-    every = size.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("_r"))))
-    return every.join(rows, [*sheet, "row"], "left").select(*sheet, "row", F.transform(F.sequence(F.lit(1), F.col("_c")), lambda c: F.coalesce(F.try_element_at("_m", c), F.lit(""))).alias("values"))
+    own = used.groupBy(*sheet).agg(F.sort_array(F.collect_list(F.struct("row", "col", "value"))).alias("_w"), F.max("row").alias("_r"), F.max("col").alias("_c"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: (i == 0) | (F.get("_w", i)["row"] != F.get("_w", i - 1)["row"]))
+    part = lambda at, b, k: F.slice("_w", b + 1, F.coalesce(F.get(at, k + 1), F.size("_w")) - b)
+    by_col = lambda x: F.map_from_entries(F.transform(x, lambda c: F.struct(c["col"], c["value"])))
+    by_row = let(begins, lambda at: F.map_from_entries(F.transform(at, lambda b, k: F.struct(F.get("_w", b)["row"], by_col(part(at, b, k))))))
+    row = lambda m: F.transform(F.sequence(F.lit(1), F.col("_c")), lambda c: F.coalesce(F.try_element_at(m, c), F.lit("")))
+    grid = let(by_row, lambda m: F.transform(F.sequence(F.lit(1), F.col("_r")), lambda r: let(F.try_element_at(m, r), row)))
+    return own.select(*sheet, F.posexplode(grid).alias("row", "values")).withColumn("row", F.col("row") + 1)
 
 
 def html_row(values: Column, n: Column | None = None) -> Column:
