@@ -22,8 +22,9 @@ not read; very long texts are scored whole; ties don't occur, as nothing is rank
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import joined_split, shuffles_cleaned, small_batches, stored
+from inkveil.llm.common import shuffles_cleaned, small_batches, stored
 
-STATES, ROUNDS, TOLERANCE = 6, 6, 0.002
+STATES, ROUNDS, TOLERANCE = 6, 4, 0.002
 #: Words of this count or more have a class by word.
 COMMON = 8
 
@@ -123,23 +124,32 @@ def _encoder(total: int, distinct: int, ends: int, masses: np.ndarray, classes_:
     scale = math.log10(total + 0.1 * (distinct + 1))
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        rank = {w: k for k, w in enumerate(_distinct(texts["text"]))}
+        # words are numbered as they come, in one pass; their ranks among the block's words follow from the distinct ones
+        numbers: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+        parts, sizes = [], []
+        for text in texts["text"].cast(pa.binary()).to_pylist():
+            words = text.lower().split()
+            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+            sizes.append(len(words))
+        words = list(numbers)
+        rank = np.empty(len(words), np.int64)
+        rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
         count, kind = np.zeros(len(rank), np.int64), np.full(len(rank), classes_.unknown, np.int64)
         at = answers["rank"].to_numpy()
         count[at], kind[at] = answers["c"].to_numpy(), answers["class"].to_numpy()
+        count, kind = count[rank], kind[rank]
         base = np.log10(count + 0.1) - scale
         inner = np.where(count > 0, np.log10(count + 0.1) - np.log10(masses[kind]), 0.0)
         codes = (kind + np.where(count == 1, classes_.once, 0)).astype(classes_.code)
         end = np.array([classes_.end], classes_.code).tobytes()
-        n_tokens, n_known, base_score, inside, classes = [], [], [], [], []
-        for text in texts["text"].cast(pa.binary()).to_pylist():
-            own = np.fromiter(map(rank.__getitem__, text.lower().split()), np.int64)
-            n_tokens.append(len(own) + 1)
-            n_known.append(int((count[own] > 0).sum()) + (ends > 0))
-            base_score.append(float(base[own].sum()) + math.log10(ends + 0.1) - scale)
-            inside.append(float(inner[own].sum()))
-            classes.append(codes[own].tobytes() + end)
-        return pa.table({"id": texts["id"], "held_out": texts["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base_score, pa.float64()), "inner": pa.array(inside, pa.float64()), "classes": pa.array(classes, pa.binary())})
+        own = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        n = np.array(sizes, np.int64)
+        of = np.repeat(np.arange(len(n)), n)
+        total_of = lambda values: np.bincount(of, weights=values[own], minlength=len(n))
+        raw, width, ends_at = codes[own].tobytes(), codes.dtype.itemsize, np.cumsum(n).tolist()
+        classes = [raw[width * a : width * b] + end for a, b in zip([0, *ends_at], ends_at, strict=False)]
+        last = math.log10(ends + 0.1) - scale
+        return pa.table({"id": texts["id"], "held_out": texts["held_out"], "n_tokens": pa.array(n + 1), "n_known": pa.array(total_of(count > 0).astype(np.int64) + (ends > 0)), "base_score": pa.array(total_of(base) + last), "inner": pa.array(total_of(inner)), "classes": pa.array(classes, pa.binary())})
 
     return run
 
@@ -202,8 +212,7 @@ def forward(model: Model, group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
         s = now.sum(axis=1)
         now /= s[:, None]
         alpha[a:b], scale[a:b] = now, s
-    logs = np.zeros(len(group))
-    np.add.at(logs, np.arange(len(tokens)) - np.repeat(offsets[:-1], live), np.log(scale))
+    logs = np.bincount(np.arange(len(tokens)) - np.repeat(offsets[:-1], live), weights=np.log(scale), minlength=len(group))
     return logs, alpha, (emit, scale, laid)
 
 
@@ -332,9 +341,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout
     masses[found["class"].to_numpy()] = found["m"].to_numpy()
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     asked = dealt.select("block", "text").groupBy("block").applyInArrow(_requests, "block int, rank int, word binary")
-    # a frequent word is asked for by every block: its rows are dealt over tasks by its count, which they can't exceed
-    found = joined_split(asked, counts.withColumnRenamed("c", "n"), "word", ["block"], 20_000)
-    answers = stored(found.select("block", "rank", F.col("n").cast("long").alias("c"), "class"), "answers")
+    answers = stored(asked.join(counts, "word").select("block", "rank", "c", "class"), "answers")
     kind = dict(docs.dtypes)["id"]
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"
     encoded = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_encoder(total, distinct, ends, masses, classes), schema)
